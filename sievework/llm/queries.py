@@ -53,6 +53,13 @@ from split s left join hits t on s.page_id = t.page_id and t.nth = 1
 """
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.secrets import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_random")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.exact_dedup import exact_duplicates
 
@@ -75,6 +82,15 @@ from t window w as (partition by text_sha256 order by points desc, doc_id)
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.packing import pack_documents
 
@@ -84,8 +100,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> QueryMap:
     return {
         "op2_url_filter": op2_url_filter,
+        "op6_secret_scan": op6_secret_scan,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 

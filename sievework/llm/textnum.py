@@ -55,11 +55,11 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) byte positions of all words, and each text's first word index (n + 1 values)."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     opens = offsets[:-1][offsets[:-1] < offsets[1:]]
