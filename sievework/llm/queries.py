@@ -53,6 +53,12 @@ from split s left join hits t on s.page_id = t.page_id and t.nth = 1
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.secrets import scan
 
@@ -60,6 +66,50 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.mixing import schedule
+
+    return schedule(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+with recursive counts as (
+  select source, count(*) as n, pow(count(*), 0.5) as w from documents group by source
+), ideal as (
+  select source, n, count(*) over () as m, (1000 - count(*) over ()) * w / sum(w) over () as ideal from counts
+), whole as (
+  select *, floor(round(ideal, 9))::bigint as whole from ideal
+), ranked as (
+  select *, 1000 - m - sum(whole) over () as short,
+         row_number() over (order by round(ideal - whole, 9) desc, source) as nth from whole
+), units as (
+  select source, nth, (1 + whole + (nth <= short)::int)::bigint as units from ranked
+), s as (
+  select list(units order by nth) as u from units
+), turns(slot, done, i) as (
+  select -1, list_transform(u, lambda x: 0::bigint), null::bigint from s
+  union all
+  select slot + 1,
+         list_transform(done, lambda d, j: if(j = pick.i, d + 1, d)),
+         pick.i
+  from (
+    select slot, done, list_min(list_filter(list_transform(u, lambda x, j: {
+             'due': ((done[j] + 1) * 1000 + x - 1) // x, 'i': j::bigint, 'free': done[j] * 1000 // x, 'left': x - done[j]}),
+             lambda y: y.free <= slot + 1 and y.left > 0)) as pick
+    from turns, s where slot < 999)
+), plan as (
+  select slot, nth, units, source, row_number() over (partition by i order by slot) - 1 as unit
+  from turns join units on nth = i where slot >= 0
+), ranks as (
+  select doc_id, source, row_number() over (partition by source order by md5(doc_id::varchar), doc_id) - 1 as rank from documents
+), blocks as (
+  select r.doc_id, r.source, u.units, r.rank // 8 as block, r.rank % 8 as place from ranks r join units u on r.source is not distinct from u.source
+)
+select b.doc_id, b.source, b.units, b.block, (b.block // b.units) * 1000 + p.slot as slot, b.place
+from blocks b join plan p on b.source is not distinct from p.source and b.block % b.units = p.unit
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.exact_dedup import exact_duplicates
 
@@ -100,7 +150,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> QueryMap:
     return {
         "op2_url_filter": op2_url_filter,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_secret_scan": op6_secret_scan,
+        "op7_mixing": op7_mixing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_packing": op9_packing,
         "op10_toxicity": op10_toxicity,
@@ -108,4 +160,4 @@ def queries() -> QueryMap:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op2_url_filter": OP2_SQL, "op7_mixing": OP7_SQL, "op8_exact_dedup": OP8_SQL}
