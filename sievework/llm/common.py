@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 import sievework
@@ -56,7 +57,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         if rows.num_rows == 0:
             continue
         keys = rows.column(key).combine_chunks()
-        encoded = pa.compute.run_end_encode(keys)
+        encoded = pc.run_end_encode(keys)
         low = 0
         for value, high in zip(encoded.values.to_pylist(), encoded.run_ends.to_pylist()):
             if held and value != held_key:

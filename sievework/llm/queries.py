@@ -53,6 +53,12 @@ from split s left join hits t on s.page_id = t.page_id and t.nth = 1
 """
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.embedding_dedup import near_duplicates
 
@@ -150,6 +156,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> QueryMap:
     return {
         "op2_url_filter": op2_url_filter,
+        "op4_minhash_dedup": op4_minhash_dedup,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_secret_scan": op6_secret_scan,
         "op7_mixing": op7_mixing,
