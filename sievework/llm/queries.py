@@ -25,6 +25,56 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.lm_score import stupid_backoff
+
+    scored = stupid_backoff(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 5).alias("log_score"), "n_full", "n_unseen")
+
+
+OP1_SQL = """
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+  from documents
+), p as (
+  select doc_id, len(ws) as n, unnest(range(1, len(ws) + 1)) as i, ws from w
+), t as (
+  select doc_id, n, i, ws[i] as c, case when i > 1 then ws[i - 1] end as b, case when i > 2 then ws[i - 2] end as a from p
+), c1 as (select c, count(*) as k from t group by all),
+c2 as (select b, c, count(*) as k from t where i > 1 group by all),
+c3 as (select a, b, c, count(*) as k from t where i > 2 group by all),
+d1 as (select doc_id, c, count(*) as k from t group by all),
+d2 as (select doc_id, b, c, count(*) as k from t where i > 1 group by all),
+d3 as (select doc_id, a, b, c, count(*) as k from t where i > 2 group by all),
+j as (
+  select t.doc_id, t.n, t.i, (select count(*) from t) - t.n as base,
+         c1.k - d1.k as u, coalesce(c2.k - d2.k, 0) as g2, coalesce(c3.k - d3.k, 0) as g3,
+         coalesce(h1.k - e1.k, 0) as x1, coalesce(h2.k - e2.k, 0) as x2
+  from t join c1 on t.c = c1.c join d1 on t.doc_id = d1.doc_id and t.c = d1.c
+  left join c2 on t.b = c2.b and t.c = c2.c left join d2 on t.doc_id = d2.doc_id and t.b = d2.b and t.c = d2.c
+  left join c3 on t.a = c3.a and t.b = c3.b and t.c = c3.c
+  left join d3 on t.doc_id = d3.doc_id and t.a = d3.a and t.b = d3.b and t.c = d3.c
+  left join c1 h1 on t.b = h1.c left join d1 e1 on t.doc_id = e1.doc_id and t.b = e1.c
+  left join c2 h2 on t.a = h2.b and t.b = h2.c left join d2 e2 on t.doc_id = e2.doc_id and t.a = e2.b and t.b = e2.c
+), s as (
+  select doc_id, n, case when g3 > 0 then 3 when g2 > 0 then 2 when u > 0 then 1 else 0 end as used, least(i, 3) as top,
+         case when g3 > 0 then ln(g3) - ln(x2) when g2 > 0 then ln(g2) - ln(x1)
+              when u > 0 then ln(u) - ln(base) else ln(0.5) - ln(greatest(base, 1)) end as l
+  from j
+)
+select w.doc_id, len(ws) as n_words, coalesce(round(sum(l + (top - greatest(used, 1)) * ln(0.4)), 5), 0) as log_score,
+       coalesce(sum((used = 3)::int), 0)::bigint as n_full, coalesce(sum((used = 0)::int), 0)::bigint as n_unseen
+from w left join s on w.doc_id = s.doc_id group by w.doc_id, len(ws)
+"""
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.url_filter import judge_urls
 
@@ -155,7 +205,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> QueryMap:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_url_filter": op2_url_filter,
+        "op3_html_text": op3_html_text,
         "op4_minhash_dedup": op4_minhash_dedup,
         "op5_embedding_dedup": op5_embedding_dedup,
         "op6_secret_scan": op6_secret_scan,
@@ -167,4 +219,4 @@ def queries() -> QueryMap:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op7_mixing": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_lm_score": OP1_SQL, "op2_url_filter": OP2_SQL, "op7_mixing": OP7_SQL, "op8_exact_dedup": OP8_SQL}
