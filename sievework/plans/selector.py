@@ -97,6 +97,7 @@ class FitReport:
     rows: int
     found: Found
     selected: list[int]
+    kept: list[int]
     dropped: list[int]
     added: list[int]
     pairs_requested: int
@@ -104,7 +105,8 @@ class FitReport:
     rounds: int
 
     def trace(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, ",".join(map(str, s.expanded)), s.partners, ",".join(map(str, s.head)), float(s.merit), s.improved, s.fails) for k, s in enumerate(self.found.trace, 1)]
+        name = lambda state: ",".join(str(self.kept[i]) for i in state)
+        rows = [(k, name(s.expanded), s.partners, name(s.head), float(s.merit), s.improved, s.fails) for k, s in enumerate(self.found.trace, 1)]
         return spark.createDataFrame(rows, "it int, expanded string, n_new int, head string, merit double, improved boolean, fails int")
 
 
@@ -197,7 +199,7 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
         model = self._copyValues(CorrelationFeatureSelectorModel(selected))
         model._resetUid(self.uid)
         model._set_parent(self)
-        model.report = FitReport(n, found, selected, [i for i in range(len(sizes)) if i not in kept], [kept[i] for i in subset[len(found.subset) :]], requested, correlations.computed, correlations.rounds)
+        model.report = FitReport(n, found, selected, kept, [i for i in range(len(sizes)) if i not in kept], [kept[i] for i in subset[len(found.subset) :]], requested, correlations.computed, correlations.rounds)
         return model
 
     def _count_source(self, rows: DataFrame, limits: list[int], n: int):
