@@ -106,14 +106,14 @@ def _requests(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, b
         yield pa.RecordBatch.from_arrays([
             pa.array(some, pa.int64()),
             pa.array(np.full(len(some), block), pa.int64()),
-            pa.array([_planes(lows[bounds[b] : bounds[b + 1]], LOW_BITS // 8) for b in some], pa.binary()),
+            pa.array([_planes(np.diff(lows[bounds[b] : bounds[b + 1]], prepend=np.uint64(0)), LOW_BITS // 8) for b in some], pa.binary()),
             pa.array([_planes(counts[bounds[b] : bounds[b + 1]], 4) for b in some], pa.binary()),
         ], names=["bucket", "block", "keys", "counts"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in runs(batches, "bucket"):
-        parts = [_unplanes(x, LOW_BITS // 8) for x in rows.column("keys").to_pylist()]
+        parts = [np.cumsum(_unplanes(x, LOW_BITS // 8), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
         keys = np.concatenate(parts)
         counts = np.concatenate([_unplanes(x, 4) for x in rows.column("counts").to_pylist()])
         by = np.argsort(keys, kind="stable")
@@ -160,17 +160,15 @@ def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, tot
         keys = np.concatenate([k for k, _ in grams])
         by = np.argsort(keys)
         ranked = keys[by]
-        rank = np.cumsum(np.append(True, ranked[1:] != ranked[:-1])) - 1 if len(keys) else np.zeros(0, np.int64)
+        rank = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]), dtype=np.int32) - 1 if len(keys) else np.zeros(0, np.int32)
         counts = np.empty(len(keys), np.int64)
         counts[by] = corpus[rank]
-        del ranked, rank, by
-        if leave_one_out:
-            counts -= _own_counts(keys, text[np.concatenate([at for _, at in grams])])
+        del ranked, rank, by, keys, corpus
         words = len(text)
         table = np.zeros((order, words), np.int64)  # by the position of the n-gram's first word
         done = 0
         for n, (k, at) in enumerate(grams):
-            table[n, at] = counts[done : done + len(k)]
+            table[n, at] = counts[done : done + len(k)] - (_own_counts(k, text[at]) if leave_one_out else 0)
             done += len(k)
         place = np.arange(words) - index[:-1][text]
         base = total - lengths[text] * leave_one_out
@@ -198,7 +196,7 @@ def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, tot
         ], names=["doc_id", "n_words", "log_score", "n_full", "n_unseen"])
 
 
-def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, leave_one_out: bool = True, block_bytes: int = 8 << 20, bucket_keys: int = 1 << 21) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, leave_one_out: bool = True, block_bytes: int = 4 << 20, bucket_keys: int = 1 << 21) -> DataFrame:
     """(doc_id, n_words, log_score, n_full, n_unseen) of every row.
 
     n_full: words scored with their full context of order - 1 words; n_unseen: words that occur in no other document.
