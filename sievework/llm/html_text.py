@@ -36,6 +36,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("head script style title template iframe noembed noframes datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu dir".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address center form details summary dialog li dt dd figcaption legend option optgroup select search hgroup caption tr thead tbody tfoot td th".split())
+LISTS = frozenset("ul ol menu dir".split())
 #: An open <p> ends where one of these begins.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
 #: begin tag -> (open elements that it ends, elements beyond which none is looked for)
@@ -255,6 +256,10 @@ class Renderer:
                 return None
         return None
 
+    def _spaced(self, tag: str) -> bool:
+        """Whether blank lines go around the block; not around a list inside a list item."""
+        return tag in SPACED and not (tag in LISTS and any(x.tag == "li" for x in self.open))
+
     def _close_to(self, i: int) -> None:
         while len(self.open) > i:
             self._leave(self.open.pop())
@@ -265,7 +270,7 @@ class Renderer:
         if e.tag == "table" and e.table is not None:
             self.top.flow.add_lines(e.table.done())
         elif e.tag in BLOCK:
-            e.flow.block(e.tag in SPACED)
+            e.flow.block(self._spaced(e.tag))
             if e.tag == "li" and e.flow.prefix:  # an empty item
                 e.flow.prefix = ""
         if e.indent is not None:
@@ -317,10 +322,10 @@ class Renderer:
             e.flow = e.table.cell(max(1, min(1000, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1)
             e.table = None
         elif tag in BLOCK:
-            e.flow.block(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and any(x.tag == "li" for x in self.open[:-1])))
+            e.flow.block(self._spaced(tag))
             if tag in ("pre", "textarea"):
                 e.keep = True
-            elif tag in ("ul", "ol", "menu", "dir"):
+            elif tag in LISTS:
                 e.count = int(attrs["start"]) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", attrs.get("start", "")) else 1
             elif tag == "li":
                 e.indent = e.flow.indent

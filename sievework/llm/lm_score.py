@@ -190,7 +190,7 @@ def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, tot
         yield pa.RecordBatch.from_arrays([
             docs.column(0).combine_chunks(),
             pa.array(lengths.astype(np.int64)),
-            pa.array(np.bincount(text, score, n_docs)),
+            pa.array(np.bincount(text, score, n_docs).astype(float)),
             pa.array(np.bincount(text, used == order, n_docs).astype(np.int64)),
             pa.array(np.bincount(text, used == 0, n_docs).astype(np.int64)),
         ], names=["doc_id", "n_words", "log_score", "n_full", "n_unseen"])
