@@ -1,14 +1,14 @@
 """Operator 10: toxicity by a factorization machine over hashed terms.
 
-A text's terms are its runs of letters and digits (any byte beyond ASCII counts as a letter), lower-cased and
-hashed to 2^20 slots, with a second slot for a term that occurs more than once; a document is the set of its
-slots.  The model is
+A text's terms are its runs of letters and digits (any byte beyond ASCII counts as a letter), lower-cased, and the
+beginnings of longer runs (4 to 7 bytes), all hashed to 2^20 slots, with a second slot for a term that occurs more than
+once; a document is the set of its slots.  The model is
 
     score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>)      over the slots i, j present,
 
 so that pairs of terms (an insult beside a mention of a group) weigh more or less than the sum of their parts.
 It is trained on at most `train_rows` labelled rows, taken by a hash of the id; slots are those among them with
-the largest chi-squared against the label.  The model is a few thousand short rows and is sent to the workers
+the largest chi-squared against the label.  The model is a few hundred short rows and is sent to the workers
 with the task; scoring is one pass without a shuffle over whole texts.
 
 Training rows are those whose crc32 of the id as text, modulo 4, isn't 2; the other labels are never read.
@@ -34,6 +34,8 @@ from sievework.llm import textnum
 from sievework.llm.common import ship
 
 SLOT_BITS = 20
+#: Lengths in bytes of the word beginnings that are terms of their own, so that a stem is known in new words.
+STEMS = (4, 5, 6, 7)
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -42,8 +44,13 @@ def term_slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of every different term of each text, sorted; a term that occurs again has a second slot for that."""
     data, offsets = textnum.text_buffer(column)
     starts, ends, index = textnum.word_bounds(data, offsets, _BREAK)
-    slots = textnum.span_hashes(data, starts, ends, textnum._LOWER) >> np.uint64(64 - SLOT_BITS)
-    both = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(index)) << np.uint64(SLOT_BITS) | slots
+    own = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(index)) << np.uint64(SLOT_BITS)
+    parts = [own | textnum.span_hashes(data, starts, ends, textnum._LOWER) >> np.uint64(64 - SLOT_BITS)]
+    for n in STEMS:
+        long = ends - starts > n
+        heads = textnum.mix64(textnum.span_hashes(data, starts[long], starts[long] + n, textnum._LOWER) + np.uint64(n))
+        parts.append(own[long] | heads >> np.uint64(64 - SLOT_BITS))
+    both = np.concatenate(parts)
     both.sort()
     if len(both):
         new = np.append(True, both[1:] != both[:-1])
@@ -74,7 +81,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(n: int, text: np.ndarray, slot: np.ndarray, label: np.ndarray, *, features: int = 1024, factors: int = 4, rounds: int = 160, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
+def train(n: int, text: np.ndarray, slot: np.ndarray, label: np.ndarray, *, features: int = 512, factors: int = 4, rounds: int = 160, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
     """Adam on the mean log loss over all rows. (text, slot): the terms present; label: 0 or 1 for each text."""
     positive = float(label.sum())
     share = (positive + 0.5) / (n + 1)
@@ -121,8 +128,14 @@ def held_out(id_column: F.Column | str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _small(batches):
         text, slot = term_slots(batch.column(1))
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
         packed = [slot[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
@@ -147,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, threshold: float | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _small(batches):
         scores = model.scores(batch.num_rows, *term_slots(batch.column("__text"))) if batch.num_rows else np.zeros(0)
         rest = batch.drop_columns(["__text"])
         if threshold is None:
