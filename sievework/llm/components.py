@@ -15,9 +15,10 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(id, root) for every id with an edge to another; root is the smallest id reachable.
 
-    Every step groups by node with map-side combine and joins the minimum back (one row on that side, so a
-    node with very many edges is a skewed equi-join that adaptive execution splits).  Rounds: logarithmic in
-    the longest path; each is cut with a checkpoint.  Nulls and self-loops are ignored.
+    Every step groups by node with map-side combine and joins the minimum back.  The minima are written first, so both
+    sides of the join are plain exchanges: a node with very many edges is a skewed partition that adaptive
+    execution splits, with one row on the other side.  Rounds: logarithmic in the longest path; each is cut
+    with a checkpoint.  Nulls and self-loops are ignored.
     """
     u, v = F.greatest(left, right), F.least(left, right)
     now = edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
@@ -25,12 +26,12 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     before = _mark(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # the edges at a node's own minimum: (u, m) itself where u isn't the minimum
         own = low.where("m < k").select(F.col("k").alias("u"), F.col("m").alias("v"))
-        large = large.union(own).distinct()
-        best = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        large = checkpointed(large.union(own).distinct())
+        best = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"))
         small = large.join(best, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = checkpointed(small.distinct())
         after = _mark(now)
