@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed
+from sievework.llm.common import checkpointed, small_side
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 
@@ -71,20 +71,20 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Only the ids of rows that go are joined, which is none for most tables; where an id occurs more than once
-    the join also compares the text's digest, and of rows that are equal in both exactly one stays.
+    Only the ids of rows that go are joined (broadcast if they are few); where an id has both rows that go and rows
+    that stay, the text's digest is compared too, and of rows that are equal in both exactly one stays.
     """
-    found = exact_duplicates(docs, id_col=id_col, text_col=text_col)
+    found = checkpointed(exact_duplicates(docs, id_col=id_col, text_col=text_col))
     per_id = found.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay"))
-    gone = per_id.where(F.col("stay") < F.col("rows"))
+    gone = checkpointed(per_id.where(F.col("stay") < F.col("rows")).select(F.col("id").alias("__gone"), "stay"))
     names = docs.columns
     tagged = docs.withColumn("__key", F.col(id_col))
-    plain = gone.where("stay = 0").select(F.col("id").alias("__gone"))
-    mixed = gone.where("stay > 0").select(F.col("id").alias("__gone"))
     same = F.col("__key").eqNullSafe(F.col("__gone"))
-    rest = tagged.join(plain, same, "left_anti")
-    clear = rest.join(mixed, same, "left_anti").select(*names)
-    odd = rest.join(mixed, same, "left_semi")
+    mixed = gone.where("stay > 0").select("__gone")
+    clear = tagged.join(small_side(gone.select("__gone")), same, "left_anti").select(*names)
+    if mixed.isEmpty():
+        return clear
+    odd = tagged.join(small_side(mixed), same, "left_semi")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     odd = odd.withColumn("__digest", F.sha2(F.regexp_replace(text, BLANK, "").cast("binary"), 256)).withColumn("__points", F.char_length(text))
     stay = found.where("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__d"), F.col("points").alias("__p"))

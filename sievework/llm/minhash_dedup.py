@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import textnum
-from sievework.llm.common import checkpointed, runs, ship
+from sievework.llm.common import BROADCAST_ROWS, checkpointed, runs, ship, small_side
 from sievework.llm.components import components
 from sievework.llm.embedding_dedup import smallest_reachable
 
@@ -174,7 +174,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(lows))], schema=_EDGE)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, tables: int = 14, rows: int = 4, chunk_rows: int = 128, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, tables: int = 14, rows: int = 4, chunk_rows: int = 128, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -188,8 +188,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = checkpointed(components(stars, "rid", "hub"))
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
     members = checkpointed(groups.join(sizes, "root").join(reps.select(F.col("rid").alias("id_rid"), F.col("id").alias("rep"), "d1", "d2"), F.col("id") == F.col("id_rid")).select(F.col("id_rid").alias("rid"), "root", "chunks", "rep", "d1", "d2"))
-    few = members.count() <= broadcast_rows
-    wanted = texts.join(F.broadcast(members) if few else members, F.col("id") == F.col("rep")).select("rid", "root", "chunks", "d1", "d2", "text")
+    wanted = texts.join(small_side(members, broadcast_rows), F.col("id") == F.col("rep")).select("rid", "root", "chunks", "d1", "d2", "text")
     sets = wanted.mapInArrow(_member_sets, "rid long, root long, chunks int, grams binary")
     chunk = sets.withColumn("chunk", F.expr("cast(pmod(xxhash64(rid), chunks) as int)"))
     # a pair of chunks (i <= j): members of i on side 0, of j on side 1, and a chunk with itself on side 0 alone
@@ -214,5 +213,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are the first of their class, with all their columns; only ids that go are joined."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = checkpointed(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(small_side(gone), F.col(id_col) == F.col("__gone"), "left_anti")
