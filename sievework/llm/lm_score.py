@@ -11,7 +11,7 @@ they came from.  Both sides travel as columns, not as a row per n-gram:
    n-gram and context, and the logarithms are summed up per document.
 
 An n-gram occurs at most once in a slice, so however frequent it is, a partition gets one entry per block for it; the
-number of partitions follows the word count.  Key width follows it too: 40 bits beside the partition's own, so
+numbers of partitions follow the words and bytes counted first, whatever the session's setting.  Key width follows it too: 40 bits beside the partition's own, so
 that a wrong match has a chance of about 2^-40 times the partition's share, the same at every size.
 
 The score of a word is c(w[i-k] .. w[i]) / c(w[i-k] .. w[i-1]) for the longest context k < n for which the numerator
@@ -86,10 +86,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = 0
+    words = size = 0
     for batch in batches:
-        words += len(textnum.word_bounds(*textnum.text_buffer(batch.column(0)))[0])
-    yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64())], names=["words"])
+        data, offsets = textnum.text_buffer(batch.column(0))
+        words += len(textnum.word_bounds(data, offsets)[0])
+        size += len(data)
+    yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([size], pa.int64())], names=["words", "size"])
 
 
 def _requests(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -203,10 +205,10 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.select("text").mapInArrow(_measure, "words long").agg(F.sum("words")).first()[0] or 0
+    total, size = (x or 0 for x in rows.select("text").mapInArrow(_measure, "words long, size long").agg(F.sum("words"), F.sum("size")).first())
     bucket_bits = min(22, max(3, (total * order // bucket_keys).bit_length()))
     requests = rows.mapInArrow(lambda it: _requests(it, order, bucket_bits, block_bytes), "bucket long, block long, keys binary, counts binary")
-    answers = requests.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, part long, data binary")
+    answers = requests.repartition(1 << bucket_bits - 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, part long, data binary")
     carried = rows.mapInArrow(lambda it: _carried(it, block_bytes), "block long, part long, data binary")
-    met = carried.union(answers).repartition("block").sortWithinPartitions("block", "part")
+    met = carried.union(answers).repartition(1 + size // (2 * block_bytes), "block").sortWithinPartitions("block", "part")
     return met.mapInArrow(lambda it: _sum_up(it, order, bucket_bits, total, alpha, leave_one_out), "doc_id long, n_words long, log_score double, n_full long, n_unseen long")

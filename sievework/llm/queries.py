@@ -109,12 +109,45 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share a shingle, and a recursive closure: for small tables.
+OP4_SQL = """
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws
+  from documents
+), s as (
+  select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+                      when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as g
+  from w
+), n as (select doc_id, len(g)::bigint as n from s),
+u as (select doc_id, unnest(g) as sh from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from u a join u b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+reach(doc_id, r) as (select doc_id, doc_id from n union select reach.doc_id, e.b from reach join e on reach.r = e.a)
+select n.doc_id, n.n as n_shingles, min(r) as component_id, n.doc_id = min(r) as kept
+from n join reach on n.doc_id = reach.doc_id group by n.doc_id, n.n
+"""
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs of a label, and a recursive closure: for small tables.
+OP5_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+      where list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98),
+reach(vec_id, r) as (select vec_id, vec_id from v union select reach.vec_id, l.b from reach join l on reach.r = l.a),
+n as (select vec_id, count(b) as n_links from v left join l on vec_id = a group by vec_id)
+select n.vec_id, n_links, min(r) as component_id, n.vec_id = min(r) as kept
+from n join reach on n.vec_id = reach.vec_id group by n.vec_id, n_links
+"""
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.secrets import scan
 
@@ -219,4 +252,4 @@ def queries() -> QueryMap:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": OP1_SQL, "op2_url_filter": OP2_SQL, "op7_mixing": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_lm_score": OP1_SQL, "op2_url_filter": OP2_SQL, "op4_minhash_dedup": OP4_SQL, "op5_embedding_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op8_exact_dedup": OP8_SQL}
