@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -28,16 +29,16 @@ class Encoded:
 def categories(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list]:
     """The sorted different values of each column; one pass, partial aggregation, at most max_categories + 1 values a column reach the driver."""
     every = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("s")) for i, c in enumerate(columns)])
-    seen = df.select(F.explode(every).alias("x")).groupBy("x.i", "x.s").agg(F.lit(1).alias("one"))
-    counts = {r["i"]: r["count"] for r in seen.groupBy("i").count().collect()}
-    if not counts:
+    seen = df.select(F.explode(every).alias("x")).select("x.*").distinct().limit(len(columns) * (max_categories + 1) + 1).collect()
+    if not seen:
         raise ValueError("the dataset has no rows")
-    for i, n in counts.items():
+    counts = Counter(r["i"] for r in seen)
+    for i, n in counts.most_common():
         if n > max_categories:
-            raise ValueError(f"column {columns[i]!r} has {n} different values; at most {max_categories} are allowed")
+            raise ValueError(f"column {columns[i]!r} has more than {max_categories} different values; at most {max_categories} are allowed")
     types = {c: df.schema[c].dataType for c in columns}
     out: dict[str, list] = {c: [] for c in columns}
-    for r in seen.collect():
+    for r in seen:
         c = columns[r["i"]]
         if r["s"] is None:
             raise ValueError(f"column {c!r} holds nulls; encode them as a value of their own first")

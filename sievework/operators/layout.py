@@ -6,8 +6,6 @@ block's column slice in record order.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +14,20 @@ def horizontal(codes: DataFrame, columns: list[str]) -> DataFrame:
     return codes.select(F.array(*[F.col(f"`{c}`").cast("int") for c in columns]).alias("a"))
 
 
-def block_bounds(n: int, blocks: int) -> list[int]:
-    """First row number of each of `blocks` equal contiguous blocks: row k belongs to floor(k * blocks / n)."""
-    return [-(-b * n // blocks) for b in range(blocks)]
-
-
 def number_rows(df: DataFrame, key: str) -> DataFrame:
-    """`rid` 0, 1, ... by a unique key. Ranks come in two levels, range partitions and ranks inside them, so no task sorts the whole table."""
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
+    """`rid` 0, 1, ... in the order of a unique numeric key.
+
+    Ranks come in two levels, ranges of the key and ranks inside them, so no task sorts the whole table.  The ranges are
+    approximate quantiles, found once, so every evaluation cuts at the same places.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.stat.approxQuantile(key, [k / parts for k in range(1, parts)], 0.5 / parts)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    ranged = df.withColumn("__p", part)
+    inside = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
     sizes = ranged.groupBy("__p").count()
-    before = sizes.select(F.col("__p").alias("__q"), (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))  # a row per partition
-    return ranged.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn("rid", F.col("__before") + F.col("__n")).drop("__p", "__q", "__n", "__before")
+    before = sizes.select(F.col("__p").alias("__q"), (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))  # a row per range
+    return inside.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn("rid", F.col("__before") + F.col("__n")).drop("__p", "__q", "__n", "__before")
 
 
 def assign_blocks(numbered: DataFrame, n: int, blocks: int) -> DataFrame:
@@ -44,7 +44,3 @@ def vertical(rows: DataFrame, columns: list[str], partitions: int = 0) -> DataFr
     blocks = long.groupBy("feature", "block").agg(F.array_sort(F.collect_list(F.struct("rid", "v"))).alias("s"))
     sliced = blocks.select("feature", "block", F.transform("s", lambda x: x["v"]).alias("vals"))
     return sliced.repartitionByRange(partitions or len(columns), "feature", "block").sortWithinPartitions("feature", "block")
-
-
-def block_count(n: int, rows_per_block: int = 1 << 16) -> int:
-    return max(1, math.ceil(n / rows_per_block))

@@ -114,3 +114,11 @@ def test_guards():
         top_states([], [], 0)
     with pytest.raises(ValueError):
         correlations(XOR).request(2, [])
+
+
+def test_merged_counts(spark):
+    from sievework.operators.contingency import merged
+
+    one = spark.createDataFrame([(0, 1, 1, 2), (0, 1, 2, 1)], "i int, v int, w int, n long")
+    two = spark.createDataFrame([(0, 1, 1, 5)], "i int, v int, w int, n long")
+    assert sorted(map(tuple, merged(one, two).collect())) == [(0, 1, 1, 7), (0, 1, 2, 1)]
