@@ -255,6 +255,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(linked, "id", "low").withColumnRenamed("id", "c_id")
     per_rep = reps.join(counts, "id", "left").join(roots, F.col("id") == F.col("c_id"), "left").select("label", "vector", F.col("id").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    per_rep = checkpointed(per_rep)  # a plain side, so that a vector with very many copies is a partition that can be split
     out = good.join(per_rep, ["label", "vector"]).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     rest = rows.where("not usable").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
