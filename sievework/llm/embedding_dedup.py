@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import checkpointed, runs, ship
-from sievework.llm.components import components
+from sievework.llm.components import components, smallest_reachable
 
 LEAF = 24
 _SLACK = 1e-7
@@ -118,19 +118,6 @@ def dual_links(x: np.ndarray, y: np.ndarray | None, cosine: float) -> list[tuple
     return found
 
 
-def smallest_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For nodes 0 .. n - 1, the smallest node each reaches over the edges."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[u], label[v])
-        before = label.copy()
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 _OUT = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
 

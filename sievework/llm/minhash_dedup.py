@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import textnum
 from sievework.llm.common import BROADCAST_ROWS, checkpointed, runs, ship, small_side
-from sievework.llm.components import components
-from sievework.llm.embedding_dedup import smallest_reachable
+from sievework.llm.components import components, smallest_reachable
 
 WORDS = 5
 _SLICE = 1 << 16

@@ -38,10 +38,11 @@ def graph(kind):
     return []
 
 
+@pytest.mark.parametrize("finish", [0, 1_000_000])
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "odd", "none"])
-def test_against_union_find(spark, kind):
+def test_against_union_find(spark, kind, finish):
     edges = graph(kind)
     df = spark.createDataFrame(edges, "a long, b long").repartition(3)
-    rows = components(df, "a", "b").collect()
+    rows = components(df, "a", "b", finish).collect()
     assert len(rows) == len({r["id"] for r in rows})
     assert {r["id"]: r["root"] for r in rows} == expected(edges)
