@@ -169,25 +169,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(slot, bounds, label, **options)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, threshold: float | None) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
-        scores = model.scores(batch.num_rows, *term_slots(batch.column("__text"))) if batch.num_rows else np.zeros(0)
-        rest = batch.drop_columns(["__text"])
-        if threshold is None:
-            yield rest.append_column("__score", pa.array(scores, pa.float64()))
-        else:
-            yield rest.filter(pa.array(scores < threshold))
+        scores = model.scores(batch.num_rows, *term_slots(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+
+
+def _reject(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in _small(batches):
+        scores = model.scores(batch.num_rows, *term_slots(batch.column(text_at)))
+        yield batch.filter(pa.array(scores < threshold))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(lambda it: _score(it, model, None), "doc_id long, __score double").withColumnRenamed("__score", "score")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
 
 
 def reject(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     ship(docs.sparkSession)
-    rows = docs.withColumn("__text", F.col(text_col).cast("string"))
-    return rows.mapInArrow(lambda it: _score(it, model, threshold), docs.schema)
+    text_at = docs.columns.index(text_col)
+    return docs.mapInArrow(lambda it: _reject(it, model, text_at, threshold), docs.schema)
