@@ -17,11 +17,18 @@ from pyspark.sql import functions as F
 import sievework
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors once per application, so that Python workers can import it from anywhere."""
+    """Ready the session for operators with Python workers.
+
+    Bounds the Arrow batches by bytes, unless the application set a bound of its own, and sends the package to the executors
+    once per application, so that workers can import it from anywhere.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_BYTES):
+        spark.conf.set(_BATCH_BYTES, "16m")
     if context.applicationId in _shipped:
         return
     top = Path(sievework.__file__).parent
