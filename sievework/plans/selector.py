@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark import keyword_only
@@ -23,6 +25,7 @@ from sievework.plans.search import Cells, Correlations, Found, add_locally_predi
 
 #: With up to so many cells over all pairs, all of them are counted in one pass.
 MATRIX_CELLS = 4_000_000
+COMPILED_COLUMNS = 64
 
 
 class _SelectorParams(HasFeaturesCol, HasLabelCol, HasOutputCol):
@@ -174,8 +177,15 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
         vector = vector_to_array(F.col(self.getFeaturesCol()))
         raw = dataset.select(vector.alias("v"), F.col(self.getLabelCol()).cast("double").alias("y"))
         raw = raw.select(F.array(*[F.col("v")[i] for i in kept], F.col("y")).alias("d"))
-        wrong = F.exists(F.arrays_zip("d", F.array(*map(F.lit, limits)).alias("k")), lambda x: x["d"].isNull() | F.isnan(x["d"]) | (x["d"] < 0) | (x["d"] >= x["k"]) | (x["d"] != F.floor(x["d"])))
-        checked = raw.select(F.expr("transform(d, x -> try_cast(x as int))").alias("a"), F.coalesce(wrong, F.lit(True)).alias("wrong"))
+        # one comparison for each column is compiled; beyond some hundred columns a loop over the array is better
+        bad = lambda x, k: x.isNull() | F.isnan(x) | (x < 0) | (x >= k) | (x != F.floor(x))
+        if len(limits) <= COMPILED_COLUMNS:
+            wrong = functools.reduce(operator.or_, (bad(F.col("d")[k], F.lit(n)) for k, n in enumerate(limits)))
+            codes = F.array(*[F.expr(f"try_cast(d[{k}] as int)") for k in range(len(limits))])
+        else:
+            wrong = F.exists(F.arrays_zip("d", F.array(*map(F.lit, limits)).alias("k")), lambda x: bad(x["d"], x["k"]))
+            codes = F.expr("transform(d, x -> try_cast(x as int))")
+        checked = raw.select(codes.alias("a"), F.coalesce(wrong, F.lit(True)).alias("wrong"))
         rows = checked.persist()
         try:
             n, bad = rows.agg(F.count(F.lit(1)), F.count_if("wrong")).first()
