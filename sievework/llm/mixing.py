@@ -74,14 +74,16 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
     width = -(-_SPACE // groups)
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
-    rows = rows.withColumn("part", F.expr(f"cast(conv(substr(key, 1, 8), 16, 10) as long) div {width}L"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id")
+    # a key that is never null: the window's partitioning then serves the join with the counts too, and rows move once
+    group = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))
+    rows = rows.withColumn("group", group(F.col("source"))).withColumn("part", F.expr(f"cast(conv(substr(key, 1, 8), 16, 10) as long) div {width}L"))
+    inside = Window.partitionBy("group", "part").orderBy("key", "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(inside) - 1)
-    sizes = docs.select(F.col(source_col).alias("source"), F.expr(f"cast(conv(substr(md5(cast(coalesce(cast(`{id_col}` as string), '') as binary)), 1, 8), 16, 10) as long) div {width}L").alias("part"))
-    sizes = sizes.groupBy("source", "part").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = rows.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("part") == F.col("b_part")))
+    sizes = docs.select(group(F.col(source_col)).alias("group"), F.expr(f"cast(conv(substr(md5(cast(coalesce(cast(`{id_col}` as string), '') as binary)), 1, 8), 16, 10) as long) div {width}L").alias("part"))
+    sizes = sizes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select("group", "part", F.coalesce("before", F.lit(0)).alias("before"))
+    ranked = rows.join(before, ["group", "part"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).withColumn("block", F.expr(f"rank div {block_docs}"))
     units = source_units(docs, source_col=source_col, cycle=cycle, temperature=temperature, weights=weights)
     plan = cycle_schedule(units, cycle).select(F.col("source").alias("u_source"), "units", "unit", F.col("slot").alias("at"))
