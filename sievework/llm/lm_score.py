@@ -11,8 +11,9 @@ they came from.  Both sides travel as columns, not as a row per n-gram:
    n-gram and context, and the logarithms are summed up per document.
 
 An n-gram occurs at most once in a slice, so however frequent it is, a partition gets one entry per block for it; the
-numbers of partitions follow the words and bytes counted first, whatever the session's setting.  Key width follows it too: 40 bits beside the partition's own, so
-that a wrong match has a chance of about 2^-40 times the partition's share, the same at every size.
+numbers of partitions follow the words and bytes counted first, whatever the session's setting.  A key is 64 bits beside the
+partition's own, which come from a second hash of the words: an n-gram meets another one's key with a chance of 2^-64
+times the n-grams of its partition, the same at every size (10^-13 at 2^21).
 
 The score of a word is c(w[i-k] .. w[i]) / c(w[i-k] .. w[i-1]) for the longest context k < n for which the numerator
 isn't zero, times alpha for each order given up; for one word alone c(w) / N; for a word not seen at all half a count.
@@ -38,33 +39,44 @@ from pyspark.sql import functions as F
 from sievework.llm import textnum
 from sievework.llm.common import runs, ship
 
-LOW_BITS = 40
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+_squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each value, byte by byte position, so that equal high bytes compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """The low `width` bytes of each value, byte by byte position, so that equal high bytes compress away; compressed."""
+    return _squeeze.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).data)
 
 
 def _unplanes(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_unsqueeze.decompress(data), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.reshape(-1).view("<u8")
 
 
-def gram_keys(column: pa.Array, order: int, bucket_bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Per order 1 .. n: (keys, positions of the n-grams' first words); and each text's first word index."""
+def gram_keys(column: pa.Array, order: int, bucket_bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Per order 1 .. n: (buckets, keys, positions of the n-grams' first words); and each text's first word index."""
     words, index = textnum.word_hashes(column)
+    other = textnum.mix64(words ^ _OTHER)
     last = np.repeat(index[1:], np.diff(index))  # end of the text of each word
     out = []
     for n in range(1, order + 1):
         grams = textnum.gram_hashes(words, n)
         at = np.flatnonzero(np.arange(len(grams)) + n <= last[: len(grams)])
-        out.append((textnum.mix64(grams[at] + np.uint64(n)) >> np.uint64(64 - LOW_BITS - bucket_bits), at))
+        bucket = textnum.mix64(textnum.gram_hashes(other, n)[at] + np.uint64(n)) >> np.uint64(64 - bucket_bits)
+        out.append((bucket.astype(np.uint16 if bucket_bits <= 16 else np.uint32), textnum.mix64(grams[at] + np.uint64(n)), at))
     return out, index
 
 
+def _ranked(bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket and key, where in that order each different pair begins)."""
+    by = np.argsort(keys)
+    by = by[np.argsort(bucket[by], kind="stable")]
+    b, k = bucket[by], keys[by]
+    return by, np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (b[1:] != b[:-1]))) if len(by) else np.zeros(0, np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.Table]]:
     """(block id, rows) of about block_bytes of text each; the id depends on the partition and the order of rows."""
     base, nth, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
@@ -97,25 +109,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _requests(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     for block, rows in _blocks(batches, block_bytes):
         grams, _ = gram_keys(rows.column(1), order, bucket_bits)
-        keys = np.sort(np.concatenate([k for k, _ in grams]))
+        bucket, keys = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
         del grams
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        by, first = _ranked(bucket, keys)
         counts = np.diff(np.append(first, len(keys)))
-        keys = keys[first]
-        bounds = np.searchsorted(keys, np.arange((1 << bucket_bits) + 1, dtype=np.uint64) << np.uint64(LOW_BITS))
+        bucket, keys = bucket[by[first]], keys[by[first]]
+        del by
+        bounds = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << bucket_bits)))
         some = np.flatnonzero(np.diff(bounds))
-        lows = keys & np.uint64((1 << LOW_BITS) - 1)
         yield pa.RecordBatch.from_arrays([
             pa.array(some, pa.int64()),
             pa.array(np.full(len(some), block), pa.int64()),
-            pa.array([_planes(np.diff(lows[bounds[b] : bounds[b + 1]], prepend=np.uint64(0)), LOW_BITS // 8) for b in some], pa.binary()),
+            pa.array([_planes(np.diff(keys[bounds[b] : bounds[b + 1]], prepend=np.uint64(0)), 8) for b in some], pa.binary()),
             pa.array([_planes(counts[bounds[b] : bounds[b + 1]], 4) for b in some], pa.binary()),
         ], names=["bucket", "block", "keys", "counts"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in runs(batches, "bucket"):
-        parts = [np.cumsum(_unplanes(x, LOW_BITS // 8), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+        parts = [np.cumsum(_unplanes(x, 8), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
         keys = np.concatenate(parts)
         counts = np.concatenate([_unplanes(x, 4) for x in rows.column("counts").to_pylist()])
         by = np.argsort(keys, kind="stable")
@@ -130,17 +142,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _carried(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    squeeze = zstandard.ZstdCompressor(level=1)
     for block, rows in _blocks(batches, block_bytes):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as w:
             w.write_table(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], names=["block", "part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([_squeeze.compress(sink.getvalue())], pa.binary())], names=["block", "part", "data"])
 
 
-def _own_counts(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """How often each key occurs in its own text."""
-    both = textnum.mix64(keys + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _own_counts(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """How often each n-gram, by its rank in the block, occurs in its own text."""
+    both = text.astype(np.int64) << 32 | rank
     by = np.argsort(both)
     ranked = both[by]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(both) else np.zeros(0, np.int64)
@@ -153,25 +164,25 @@ def _own_counts(keys: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, total: int, alpha: float, leave_one_out: bool) -> Iterator[pa.RecordBatch]:
     for got in runs(batches, "block"):
         parts, data = got.column("part").to_pylist(), got.column("data").to_pylist()
-        docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data[0])).read_all()
+        docs = pa.ipc.open_stream(_unsqueeze.decompress(data[0])).read_all()
         corpus = np.concatenate([np.zeros(0, np.uint64), *[_unplanes(x, 6) for x, p in zip(data, parts) if p >= 0]]).astype(np.int64)
         del got, data
         grams, index = gram_keys(docs.column(1), order, bucket_bits)
         lengths = np.diff(index)
         text = np.repeat(np.arange(len(lengths)), lengths)
-        keys = np.concatenate([k for k, _ in grams])
-        by = np.argsort(keys)
-        ranked = keys[by]
-        rank = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]), dtype=np.int32) - 1 if len(keys) else np.zeros(0, np.int32)
-        counts = np.empty(len(keys), np.int64)
-        counts[by] = corpus[rank]
-        del ranked, rank, by, keys, corpus
+        by, first = _ranked(*(np.concatenate([g[i] for g in grams]) for i in (0, 1)))
+        grams = [at for _, _, at in grams]
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(by))))
+        counts = corpus[rank]
+        del by, first, corpus
         words = len(text)
         table = np.zeros((order, words), np.int64)  # by the position of the n-gram's first word
         done = 0
-        for n, (k, at) in enumerate(grams):
-            table[n, at] = counts[done : done + len(k)] - (_own_counts(k, text[at]) if leave_one_out else 0)
-            done += len(k)
+        for n, at in enumerate(grams):
+            here = slice(done, done + len(at))
+            table[n, at] = counts[here] - (_own_counts(rank[here], text[at]) if leave_one_out else 0)
+            done += len(at)
         place = np.arange(words) - index[:-1][text]
         base = total - lengths[text] * leave_one_out
         score = np.zeros(words)

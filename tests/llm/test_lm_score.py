@@ -60,3 +60,10 @@ def test_sql(spark):
     df = op1_lm_score(spark, sf)
     rel = duck(sf).execute(OP1_SQL)
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(rel.fetchall(), [d[0] for d in rel.description])
+
+
+def test_words_whose_hashes_begin_alike(spark):
+    """The keys of these two words share their leading 43 bits: neither occurs in the other's document."""
+    rows = [(1, "one w4884671 two"), (2, "three w651967")]
+    got = {r["doc_id"]: r["n_unseen"] for r in stupid_backoff(docs(spark, rows)).collect()}
+    assert got == {1: 3, 2: 2}
