@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +101,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, laid out in the order of the schedule: range-partitioned by slot and sorted."""
     planned = schedule(docs, carry=True, **options)
     return planned.repartitionByRange("slot", "place", "doc_id").sortWithinPartitions("slot", "place", "doc_id").select("row.*")
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """The rows of docs, a scan of the files that `mixed` was written to, in its order again, partition after partition.
+
+    A scan deals out files and parts of files by size. A frame that is no scan of files is returned as it is.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs
+    place = (F.length("__file"), "__file", "__row")  # part numbers get longer beyond 99,999
+    return rows.repartitionByRange(*place).sortWithinPartitions(*place).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,6 +9,9 @@ Every task tokenizes its share of the documents and packs it in blocks:
    gap are a piece cut off the smallest document that is larger;
 4. windows of a tier are dealt to step groups of equal token count.
 
+With `in_order` a block's windows are numbered by the places of their longest documents among the rows, not tier by tier,
+so sequence ids follow the order of the rows, to a block's accuracy, as far as the partitions do.
+
 All windows of a block come out exactly full.  What cannot fill a window waits for the next block; at the
 end of the task the rest is laid out in windows of falling powers of two, so nothing is padded.
 
@@ -43,10 +46,11 @@ _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 class Packer:
     """Packs documents, added as rows of ids, into windows; pieces are (document, start, length, sequence, offset)."""
 
-    def __init__(self, tiers: tuple[int, ...], step_tokens: int):
+    def __init__(self, tiers: tuple[int, ...], step_tokens: int, in_order: bool = False):
         self.tiers = tuple(sorted(tiers))
         self.top = self.tiers[-1]
         self.step_tokens = step_tokens
+        self.in_order = in_order
         self.sequences = 0
         self.in_tier: dict[int, int] = {}
         self.waiting: list[tuple[int, int, int]] = []  # (length, document, start)
@@ -62,12 +66,12 @@ class Packer:
 
     def add(self, docs: list[tuple[int, int]]) -> list:
         """docs: (document, tokens). Gives the pieces of all windows that are now full."""
-        out: list = []
+        full_windows: list[tuple[list[tuple[int, int, int]], int]] = []
         pool = self.waiting
         for doc, tokens in docs:
             full = tokens - tokens % self.top
             for start in range(0, full, self.top):
-                self._emit([(self.top, doc, start)], self.top, out)
+                full_windows.append(([(self.top, doc, start)], self.top))
             if tokens > full:
                 pool.append((tokens - full, doc, full))
         pool.sort()
@@ -89,7 +93,12 @@ class Packer:
                 if gap:
                     self.waiting += parts
                 else:
-                    self._emit(parts, window, out)
+                    full_windows.append((parts, window))
+        if self.in_order:
+            full_windows.sort(key=lambda w: w[0][0][1])
+        out: list = []
+        for parts, window in full_windows:
+            self._emit(parts, window, out)
         return out
 
     def finish(self) -> list:
@@ -113,9 +122,9 @@ class Packer:
         return out
 
 
-def _pack_partition(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
+def _pack_partition(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, block_tokens: int, in_order: bool) -> Iterator[pa.RecordBatch]:
     base = TaskContext.get().partitionId() << 32
-    stream, packer = TokenStream(tokenizer), Packer(tiers, step_tokens)
+    stream, packer = TokenStream(tokenizer), Packer(tiers, step_tokens, in_order)
     kept: dict[int, tuple] = {}  # document -> (doc_id, ids)
     fresh: list[tuple[int, int]] = []
     tokens, serial = 0, 0
@@ -152,7 +161,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: i
     yield rows(packer.finish())
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tiers: tuple[int, ...] = (256, 512, 1024, 2048), step_tokens: int = 32768, block_tokens: int = 1 << 21) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, tiers: tuple[int, ...] = (256, 512, 1024, 2048), step_tokens: int = 32768, block_tokens: int = 1 << 21, in_order: bool = False) -> DataFrame:
     """One row per piece, with the window's length and its step group; see the module's text.
 
     tokenizer: path of a tokenizer file of the `tokenizers` library, present on every executor.
@@ -161,4 +170,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         raise ValueError("context tiers must be powers of two")
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pack_partition(it, tokenizer, end_id, tuple(tiers), step_tokens, block_tokens), SCHEMA)
+    return rows.mapInArrow(lambda it: _pack_partition(it, tokenizer, end_id, tuple(tiers), step_tokens, block_tokens, in_order), SCHEMA)
