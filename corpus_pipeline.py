@@ -9,14 +9,13 @@ executor costs no more than its tasks of the stage at hand.  All stages but the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import exact_dedup, minhash_dedup, mixing, packing, toxicity
-from sievework.llm.common import table
+from sievework.llm.common import shared_folder, table
 from sievework.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,8 +33,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each class of near duplicates the smallest id stays."""
-    return minhash_dedup.drop_near_duplicates(docs)
+    """Operator 4: of each class of near duplicates, linked at a similarity of 0.8, the smallest id stays."""
+    return minhash_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +61,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each but the last written and read again under the shared folder of spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    folder = f"{top.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark, 'corpus-pipeline-')}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import sievework
@@ -44,11 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; a folder of our own is used only where none is set."""
+    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; a folder of our own is used only where none is set, on a local master."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark, "sievework-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -61,6 +62,34 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def named(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is set, a new one of this machine, on a local master only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

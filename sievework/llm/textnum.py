@@ -1,35 +1,27 @@
 """Vectorised word hashing for Arrow text columns.
 
 A text is lower-cased over A-Z and cut into words of ``[^\\x20\\x09-\\x0D]+``.
-Nothing here loops over words or characters in Python: a word's 64-bit hash is a
-polynomial over its bytes, read off a running sum, then finalised.  Memory is a
-small multiple of the largest Arrow batch; a single huge text is worked off in
-slices that end between words.
+Nothing here loops over words or characters in Python but for the rare words of more than 64 bytes, which xxhash takes one
+by one: a word's 64-bit hash is a chain over its 8-byte pieces, each mixed by a bijection before the next comes in.  Words of up
+to seven bytes can't collide with each other.  Operators that must not confuse two texts compare their bytes besides.
+Memory is a small multiple of the largest Arrow batch; a single huge text is worked off in slices that end between words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C13  # 3 mod 8, so that swapping bytes changes the sum
-_INVERSE = pow(_BASE, -1, 2**64)
 _SLICE = 1 << 19
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n, _SLICE * 2), base, np.uint64)
-            steps[0] = 1
-            _tables[name] = np.cumprod(steps, dtype=np.uint64)
-    return _tables["up"], _tables["down"]
+_PIECES = 8  # longer spans than so many 8-byte pieces are hashed one by one
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -72,6 +64,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _piece(windows: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The (up to) 8 bytes at each position as a number; left: bytes that belong to the span from there."""
+    return windows[at].view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
     """64-bit hash of each byte span; spans ascend and don't overlap. fold: a byte table applied first."""
     out = np.empty(len(starts), np.uint64)
@@ -79,14 +76,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np
     while at < len(starts):
         low = starts[at]
         stop = max(at + 1, int(np.searchsorted(ends, low + _SLICE, "right")))
-        part = data[low : ends[stop - 1]]
-        part = _BYTE[part if fold is None else fold[part]]
-        up, down = _powers(len(part) + 1)
-        part *= up[: len(part)]
-        run = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part, out=run[1:])
-        s, e = starts[at:stop] - low, ends[at:stop] - low
-        out[at:stop] = mix64((run[e] - run[s]) * down[s] + (e - s).astype(np.uint64))
+        part = np.zeros(int(ends[stop - 1] - low) + 8, np.uint8)
+        part[:-8] = data[low : ends[stop - 1]] if fold is None else fold[data[low : ends[stop - 1]]]
+        windows = sliding_window_view(part, 8)
+        s, n = starts[at:stop] - low, ends[at:stop] - starts[at:stop]
+        # up to 7 bytes: the bytes and their number side by side, so that the hash is a bijection of them
+        h = _piece(windows, s, n)
+        h = mix64(np.where(n < 8, h | n.astype(np.uint64) << np.uint64(56), mix64(h) + _CHAIN))
+        for k in range(1, _PIECES):
+            more = np.flatnonzero((n > 8 * k) & (n <= 8 * _PIECES))
+            if len(more) == 0:
+                break
+            h[more] = mix64(h[more] * _CHAIN + _piece(windows, s[more] + 8 * k, n[more] - 8 * k))
+        some = n >= 8
+        h[some] = mix64(h[some] + n[some].astype(np.uint64))
+        for i in np.flatnonzero(n > 8 * _PIECES).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(part[s[i] : s[i] + n[i]])
+        out[at:stop] = h
         at = stop
     return out
 

@@ -2,9 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 
-from sievework.llm.minhash_dedup import drop_near_duplicates, near_duplicates
+from sievework.llm.minhash_dedup import drop_near_duplicates, exact_sets, near_duplicates
 from tests.llm.tables import docs, odd_rows, prose
 
 import random
@@ -17,7 +18,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def expected(rows):
+def expected(rows, percent=85):
     """{(id, set size): class} for rows with an id; ids on several texts are linked through the id's own sets only."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -32,7 +33,7 @@ def expected(rows):
             if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
                 continue
             both = len(sets[i] & sets[j])
-            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -41,8 +42,8 @@ def expected(rows):
     return sorted(str((d, len(sets[i]), d if d is None or not sets[i] else low[find(i)])) for i, (d, _) in enumerate(rows))
 
 
-def result(df, **options):
-    return sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in near_duplicates(df, **options).collect())
+def result(df, percent=85, **options):
+    return sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in near_duplicates(df, percent=percent, **options).collect())
 
 
 def test_odd_rows(spark):
@@ -50,7 +51,7 @@ def test_odd_rows(spark):
     assert result(docs(spark, rows)) == expected(rows)
 
 
-@pytest.mark.parametrize("options", [{"chunk_rows": 4}, {"broadcast_rows": 0}])
+@pytest.mark.parametrize("options", [{"chunk_rows": 4}, {"broadcast_rows": 0}, {"chunk_rows": 7, "broadcast_rows": 0, "percent": 80}, {"chunk_shingles": 600}])
 def test_chains_and_large_groups(spark, options):
     """A chain of documents each close to the next only, and a group whose members differ by chance: chunk pairs must find all links."""
     rng = random.Random(5)
@@ -68,7 +69,37 @@ def test_chains_and_large_groups(spark, options):
             copy[rng.randrange(150)] = f"v{rng.random()}"
         rows.append((100 + k, " ".join(copy)))
     rows += [(200 + k, prose(rng, 80)) for k in range(20)]
-    assert result(docs(spark, rows), **options) == expected(rows)
+    assert result(docs(spark, rows), **options) == expected(rows, options.get("percent", 85))
+
+
+def thue_morse(n, one="x", other="y"):
+    """Strings that collide under every polynomial hash modulo a power of two, from some length on."""
+    return "".join(other if k.bit_count() & 1 else one for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_by_construction(spark, n):
+    rows = [(1, thue_morse(n)), (2, thue_morse(n, "y", "x")), (3, f"a b c d {thue_morse(n)}"), (4, f"a b c d {thue_morse(n, 'y', 'x')}"), (5, thue_morse(n).upper())]
+    assert result(docs(spark, rows)) == expected(rows)
+
+
+def test_exact_sets():
+    texts = [b"a b c d e f", b"a b c d e f g", b"a b", b"b a", b"a b", b"", b"a b c d e f"]
+    sets = exact_sets(texts)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            both = shingles(texts[i].decode()) & shingles(texts[j].decode())
+            assert len(np.intersect1d(s, t)) == len(both) and len(s) == len(shingles(texts[i].decode()))
+
+
+def test_between_80_and_85(spark):
+    """The operator's default links at 0.8; a query may ask for more."""
+    a = [f"a{i}" for i in range(104)]  # 100 shingles
+    b = a[:93] + [f"b{i}" for i in range(11)]  # shares 89, union 111: 0.802
+    c = a[:92] + [f"c{i}" for i in range(12)]  # shares 88, union 112: 0.786
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and result(docs(spark, rows)) == expected(rows)
 
 
 def test_exact_threshold(spark):

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from sievework.llm import tokens
 from sievework.llm.packing import Packer, pack_documents
 from sievework.llm.queries import tokenizer_path
 from sievework.llm.tokens import TokenStream
@@ -102,6 +103,21 @@ def test_tokens_of_odd_texts(tokenizer):
     assert all(a.tolist() == [*g.tolist(), 1] for a, g in zip(again, got))
 
 
+def test_chunks_that_collide(tokenizer, monkeypatch):
+    """A cached chunk is known by its bytes: words that collide under polynomial hashes, then every chunk under a hash of its length."""
+    morse = lambda n, a, b: "".join(b if k.bit_count() & 1 else a for k in range(n))
+    texts = [f"{p}{morse(n, *ab)} end" for n in (1024, 4096) for ab in ("ab", "ba", "xy", "yx") for p in ("", "so ")]
+    for part in (texts[:5], texts):
+        for text, ids in zip(part, TokenStream(PATH).encode(pa.array(part))):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(tokens, "_streams", {})
+    monkeypatch.setattr(tokens.textnum, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    stream = TokenStream(PATH)
+    for part in (["one two"], ["one six"], ["ten two one", "one two six"], ["one two"]):
+        for text, ids in zip(part, stream.encode(pa.array(part))):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_bad_tiers(spark):
     with pytest.raises(ValueError):
         pack_documents(docs(spark, [(1, "a")]), PATH, tiers=(300,))

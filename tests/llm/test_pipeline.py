@@ -25,7 +25,7 @@ def test_run(spark, tokenizer):  # noqa: F811
     rows = [r for r in rows if scores[r[0]] < 0.3]
     stay = {d for d, keep, _, _ in exact_expected(rows) if d == keep}
     rows = [r for r in rows if r[0] in stay]
-    classes = [eval(x) for x in near_expected(rows)]  # noqa: S307
+    classes = [eval(x) for x in near_expected(rows, 80)]  # noqa: S307
     stay = {d for d, _, c in classes if d == c}
     rows = [r for r in rows if r[0] in stay]
     ids = defaultdict(list)
