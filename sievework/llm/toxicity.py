@@ -7,9 +7,16 @@ once; a document is the set of its slots.  The model is
     score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>)      over the slots i, j present,
 
 so that pairs of terms (an insult beside a mention of a group) weigh more or less than the sum of their parts.
-It is trained on at most `train_rows` labelled rows, taken by a hash of the id; slots are those among them with
-the largest chi-squared against the label.  The model is a few hundred short rows and is sent to the workers
-with the task; scoring is one pass without a shuffle over whole texts.
+It is trained on at most `train_rows` labelled rows, taken by a hash of the id.  Slots that get weights are, among them,
+
+* the `features` with the largest chi-squared against the label, and
+* those of the `pair_features` pairs that interact most: over the chi-squared ones and the `pair_candidates` that vary most, the label's
+  share where both are present is held against what the two alone would give.  A group mention that is as common in clean
+  texts as in toxic ones gets its factors so, although it tells nothing by itself.
+
+Slots are counted in Spark; what reaches the driver is at most a row per candidate slot, and for each training row the
+candidates that it has, however long its text.  The model is a few hundred short rows and is sent to the workers with
+the task; scoring is one pass without a shuffle over whole texts.
 
 Training rows are those whose crc32 of the id as text, modulo 4, isn't 2; the other labels are never read.
 Labels, languages, sources and ids are not inputs of a score.
@@ -27,11 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textnum
-from sievework.llm.common import ship
+from sievework.llm.common import checkpointed, named, ship
 
 SLOT_BITS = 20
 #: Lengths in bytes of the word beginnings that are terms of their own, so that a stem is known in new words.
@@ -81,28 +88,63 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def choose_slots(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, features: int) -> np.ndarray:
-    """The slots with the largest chi-squared against the label, sorted. bounds: where each text's slots begin (n + 1)."""
-    n, positive = len(label), float(label.sum())
-    seen, with_label = np.zeros(1 << SLOT_BITS), np.zeros(1 << SLOT_BITS)
-    for low in range(0, n, 1024):
-        high = min(low + 1024, n)
-        part = slot[bounds[low] : bounds[high]]
-        seen += np.bincount(part, minlength=1 << SLOT_BITS)
-        with_label += np.bincount(part, np.repeat(label[low:high], np.diff(bounds[low : high + 1])), 1 << SLOT_BITS)
+def _chi(seen, with_label, n, positive):
+    """Chi-squared of a slot's presence against the label; 0 where it is seen in fewer than 4 rows. Numbers or numpy arrays."""
     expected = seen * positive / n
     spread = expected * (1 - positive / n) * np.maximum(1 - seen / n, 1 / n)
-    chi = np.where(seen >= 4, (with_label - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    best = np.argsort(-chi, kind="stable")[:features]
-    return np.sort(best[chi[best] > 6.0])
-
-
-def train(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, features: int = 512, factors: int = 4, rounds: int = 160, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
+    return np.where(seen >= 4, (with_label - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+
+
+def _best(value: np.ndarray, many: int, least: float) -> np.ndarray:
+    best = np.argsort(-value, kind="stable")[:many]
+    return best[value[best] > least]
+
+
+def interacting(present: np.ndarray, label: np.ndarray, many: int) -> np.ndarray:
+    """Columns of a 0/1 matrix that are in one of the `many` pairs with the strongest interaction on the label, if it is far beyond chance.
+
+    The contrast of a pair is the label's share with both, less that with either alone, plus that with neither, over
+    its standard error; all four cells must have rows enough.
+    """
+    n, share = len(label), float(label.mean())
+    both, both_label = present.T @ present, (present * label[:, None]).T @ present
+    one, one_label = np.diag(both).copy(), np.diag(both_label).copy()
+    cells = [(both, both_label), (one[:, None] - both, one_label[:, None] - both_label), (one[None, :] - both, one_label[None, :] - both_label)]
+    cells.append((n - one[:, None] - one[None, :] + both, label.sum() - one_label[:, None] - one_label[None, :] + both_label))
+    contrast, variance = np.zeros(both.shape), np.zeros(both.shape)
+    enough = np.ones(both.shape, bool)
+    for sign, (rows, hits) in zip((1, -1, -1, 1), cells):
+        enough &= rows >= 12
+        contrast += sign * hits / np.maximum(rows, 1)
+        variance += share * (1 - share) / np.maximum(rows, 1)
+    strength = np.triu(np.where(enough, contrast**2 / variance, 0), 1)
+    pairs = _best(strength.ravel(), many, 60.0)
+    return np.unique(np.concatenate(np.divmod(pairs, len(one)))) if len(pairs) else pairs
+
+
+def choose_slots(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, features: int, pair_candidates: int, pair_features: int) -> np.ndarray:
+    """The slots that get weights, sorted. bounds: where each text's slots begin (n + 1)."""
+    n, positive = len(label), float(label.sum())
+    text = np.repeat(np.arange(n), np.diff(bounds))
+    known, place = np.unique(slot, return_inverse=True)
+    seen = np.bincount(place, minlength=len(known))
+    chosen = _best(_chi(seen, np.bincount(place, label[text], len(known)), n, positive), features, 6.0)
+    varied = _best(seen * (n - seen) * (seen >= 4.0), pair_candidates, 0.0)
+    tried = np.union1d(chosen, varied)
+    column = np.full(len(known), -1)
+    column[tried] = np.arange(len(tried))
+    present = np.zeros((n, len(tried)), np.float32)
+    hit = column[place] >= 0
+    present[text[hit], column[place[hit]]] = 1
+    return known[np.union1d(chosen, tried[interacting(present, label.astype(np.float32), pair_features)])].astype(np.int64)
+
+
+def train(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, features: int = 512, pair_candidates: int = 1024, pair_features: int = 64, factors: int = 4, rounds: int = 160, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
     """Adam on the mean log loss over all rows. slot: the slots of all texts, one after the other; bounds: where each text's begin (n + 1)."""
     n, positive = len(label), float(label.sum())
     share = (positive + 0.5) / (n + 1)
     bias = float(np.log(share / (1 - share)))
-    slots = choose_slots(slot, bounds, label, features) if n and 0 < positive < n else np.zeros(0, np.int64)
+    slots = choose_slots(slot, bounds, label, features, pair_candidates, pair_features) if n and 0 < positive < n else np.zeros(0, np.int64)
     if len(slots) == 0:
         return FactorizationMachine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)))
     index = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -134,8 +176,8 @@ def train(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, features:
     return FactorizationMachine(slots, float(theta[0]), theta[1 : m + 1].copy(), theta[m + 1 :].reshape(m, factors).copy())
 
 
-def held_out(id_column: F.Column | str) -> F.Column:
-    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
+def held_out(id_column: str) -> Column:
+    return F.coalesce(F.crc32(named(id_column).cast("string")) % 4 == 2, F.lit(False))
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
@@ -146,27 +188,58 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _small(batches):
-        text, slot = term_slots(batch.column(1))
+        text, slot = term_slots(batch.column(2))
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
         packed = [slot[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["label", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["nth", "label", "slots"])
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, with_label, n, positive = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64), 0, 0
+    for batch in batches:
+        label = batch.column(1).to_pylist()
+        for y, packed in zip(label, batch.column(2).to_pylist()):
+            slots = np.frombuffer(packed, "<u4")
+            seen[slots] += 1
+            with_label[slots] += y
+        n, positive = n + len(label), positive + sum(label)
+    some = np.flatnonzero(seen)  # and the rows themselves, as slot -1
+    cols = (np.append(some, -1), np.append(seen[some], n), np.append(with_label[some], positive))
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["slot", "seen", "with_label"])
+
+
+def _only(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
+        packed = [x[np.isin(x, slots)].tobytes() for x in packed]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["nth", "label", "slots"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 12000, **options) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 12000, features: int = 512, pair_candidates: int = 1024, **options) -> FactorizationMachine:
     """Train on at most train_rows labelled rows outside the held-out quarter."""
     ship(docs.sparkSession)
-    usable = labels.select(F.col(id_col).alias("id"), F.coalesce(F.col(label_col).cast("int"), F.lit(0)).alias("label"))
+    usable = labels.select(named(id_col).alias("id"), F.coalesce(named(label_col).cast("int"), F.lit(0)).alias("label"))
     usable = usable.where(F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").select("label", "text")  # at most train_rows short rows
-    got = rows.mapInArrow(_terms, "label int, slots binary").toArrow()
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"))
+    rows = rows.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("nth"), "label", "text")  # at most train_rows short rows
+    terms = checkpointed(rows.mapInArrow(_terms, "nth long, label int, slots binary"))
+    counts = checkpointed(terms.mapInArrow(_slot_counts, "slot long, seen long, with_label long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("with_label").alias("with_label")))
+    whole = counts.where("slot = -1").first()
+    n, positive = (whole["seen"], whole["with_label"]) if whole else (0, 0)
+    if not 0 < positive < n:
+        return train(np.zeros(0, np.int64), np.zeros(n + 1, np.int64), np.repeat([1.0, 0.0], [positive, n - positive]), **options)
+    expected = F.col("seen") * positive / n
+    chi = F.pow(F.col("with_label") - expected, 2) / F.greatest(F.lit(1e-9), expected * (1 - positive / n) * F.greatest(1 - F.col("seen") / n, F.lit(1 / n)))
+    ranked = counts.where("slot >= 0 and seen >= 4")
+    tried = [*ranked.orderBy(F.desc(chi), "slot").limit(features).collect(), *ranked.orderBy(F.desc(F.col("seen") * (n - F.col("seen"))), "slot").limit(pair_candidates).collect()]
+    tried = np.unique([r["slot"] for r in tried]).astype(np.uint32)
+    got = terms.mapInArrow(lambda it: _only(it, tried), "nth long, label int, slots binary").toArrow().sort_by([("nth", "ascending"), ("slots", "ascending")])
     label = got.column("label").to_numpy().astype(float)
     packed = got.column("slots").to_pylist()
     bounds = np.cumsum([0] + [len(x) // 4 for x in packed])
     slot = np.frombuffer(b"".join(packed), "<u4")
-    del got, packed
-    return train(slot, bounds, label, **options)
+    return train(slot, bounds, label, features=features, pair_candidates=pair_candidates, **options)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
@@ -184,7 +257,7 @@ def _reject(batches: Iterator[pa.RecordBatch], model: FactorizationMachine, text
 def score(docs: DataFrame, model: FactorizationMachine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
 
 

@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
     assert hit / (held.toxic == 1).sum() > 0.85
 
 
-def test_pairs_of_terms_matter(monkeypatch):
+def test_pairs_of_terms_matter():
     """Label 1 only where two terms meet: additive weights can't rank that, factors can."""
     rng = random.Random(1)
     texts, labels = [], []
@@ -34,13 +34,42 @@ def test_pairs_of_terms_matter(monkeypatch):
     text, slot = toxicity.term_slots(pa.array(texts))
     y = np.array(labels)
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-    monkeypatch.setattr(toxicity, "choose_slots", lambda slot, *_: np.unique(slot))  # no single term tells anything here
     model = toxicity.train(slot, bounds, y, rounds=300)
     plain = toxicity.FactorizationMachine(model.slots, model.bias, model.linear, np.zeros((len(model.slots), 4)))
     right = lambda m: ((m.scores(len(texts), text, slot) > 0.5) == (y == 1)).mean()
     assert right(model) > 0.95 and right(plain) < 0.8
 
 
+def test_fit_learns_pairs(spark):
+    """The same by way of Spark, among other words; clean texts have the words of either kind as often."""
+    rng = random.Random(4)
+    rows, truth = [], []
+    for k in range(2400):
+        a, b = rng.random() < 0.4, rng.random() < 0.4
+        words = prose(rng, rng.randint(5, 60)).split() + ["insulting"] * a + ["grouping"] * b
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        truth.append((k, int(a == b)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(truth, "doc_id long, toxic int"), rounds=300)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows), model).collect()}
+    held = [(k, y) for k, y in truth if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert sum((got[k] > 0.5) == (y == 1) for k, y in held) / len(held) > 0.95
+
+
+def test_score_by_a_double_loop(spark):
+    """The model's formula, pair by pair over the slots of each text."""
+    rng = random.Random(6)
+    rows = [(k, prose(rng, 40) + " moron" * (k % 3 == 0)) for k in range(300)] + [(1000, None), (1001, "moron Moron MORON")]
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int"))
+    assert len(model.slots)
+    at = {int(s): i for i, s in enumerate(model.slots)}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, rows), model).collect()}
+    for k, text in rows:
+        own = [at[s] for s in toxicity.term_slots(pa.array([text], pa.string()))[1].tolist() if s in at]
+        z = model.bias + sum(model.linear[i] for i in own) + sum(model.factors[i] @ model.factors[j] for x, i in enumerate(own) for j in own[:x])
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_labels_of_the_held_out_quarter_are_never_read(spark):
     rng = random.Random(2)
     rows = [(k, prose(rng, 30) + (" moron" if k % 5 == 0 else "")) for k in range(400)]
