@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the pieces of all documents in sequences, numbered in the order of the schedule."""
-    return packing.pack_documents(mixing.in_file_order(docs), tokenizer_path(), in_order=True)
+    return packing.pack_documents(mixing.in_file_order(docs), tokenizer_path(), in_order=True, block_tokens=1 << 17)
 
 
 STAGES: list[tuple[str, Stage]] = [

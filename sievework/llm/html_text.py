@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ship
+from sievework.llm.common import named, ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -401,5 +401,5 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, text, n_lines) of every row."""
     ship(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(named(id_col).cast("long").alias("page_id"), named(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_render, "page_id long, text string, n_lines long")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textnum
-from sievework.llm.common import runs, ship
+from sievework.llm.common import named, runs, ship
 
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 _squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -215,7 +215,7 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     n_full: words scored with their full context of order - 1 words; n_unseen: words that occur in no other document.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     total, size = (x or 0 for x in rows.select("text").mapInArrow(_measure, "words long, size long").agg(F.sum("words"), F.sum("size")).first())
     bucket_bits = min(22, max(3, (total * order // bucket_keys).bit_length()))
     requests = rows.mapInArrow(lambda it: _requests(it, order, bucket_bits, block_bytes), "bucket long, block long, keys binary, counts binary")

@@ -26,12 +26,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.llm.common import fresh, named
+
 _SPACE = 1 << 32
 
 
 def source_units(docs: DataFrame, *, source_col: str = "source", cycle: int = 1000, temperature: float = 0.5, weights: dict[str, float] | None = None) -> DataFrame:
     """(source, n, units, nth): whole units of the cycle by largest remainder, one at least for each source."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(named(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     weight = F.pow(F.col("n").cast("double"), F.lit(temperature))
     if weights:
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
@@ -69,18 +71,19 @@ def cycle_schedule(units: DataFrame, cycle: int) -> DataFrame:
 
 def schedule(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", block_docs: int = 8, cycle: int = 1000, temperature: float = 0.5, weights: dict[str, float] | None = None, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, source, units, block, slot, place (inside the block). carry: all columns of docs too, as a struct `row`."""
-    n_sources, n = docs.groupBy(F.col(source_col).alias("s")).count().agg(F.count(F.lit(1)), F.sum("count")).first()
+    n_sources, n = docs.groupBy(named(source_col).alias("s")).count().agg(F.count(F.lit(1)), F.sum("count")).first()
     cycle = max(cycle, 4 * n_sources)
     groups = max(1, math.isqrt(n or 0))
     width = -(-_SPACE // groups)
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), *([F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if carry else []))
+    key = F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")).cast("binary"))
+    part = F.expr(f"cast(conv(substr(key, 1, 8), 16, 10) as long) div {width}L")
+    rows = docs.select(named(id_col).alias("doc_id"), named(source_col).alias("source"), key.alias("key"), *([F.struct(*map(named, docs.columns)).alias("row")] if carry else []))
     # a key that is never null: the window's partitioning then serves the join with the counts too, and rows move once
     group = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))
-    rows = rows.withColumn("group", group(F.col("source"))).withColumn("part", F.expr(f"cast(conv(substr(key, 1, 8), 16, 10) as long) div {width}L"))
+    rows = rows.withColumn("group", group(F.col("source"))).withColumn("part", part)
     inside = Window.partitionBy("group", "part").orderBy("key", "doc_id")
     rows = rows.withColumn("nth", F.row_number().over(inside) - 1)
-    sizes = docs.select(group(F.col(source_col)).alias("group"), F.expr(f"cast(conv(substr(md5(cast(coalesce(cast(`{id_col}` as string), '') as binary)), 1, 8), 16, 10) as long) div {width}L").alias("part"))
+    sizes = docs.select(group(named(source_col)).alias("group"), key.alias("key")).select("group", part.alias("part"))
     sizes = sizes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("group", "part", F.coalesce("before", F.lit(0)).alias("before"))
@@ -100,7 +103,8 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "sour
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, laid out in the order of the schedule: range-partitioned by slot and sorted."""
     planned = schedule(docs, carry=True, **options)
-    return planned.repartitionByRange("slot", "place", "doc_id").sortWithinPartitions("slot", "place", "doc_id").select("row.*")
+    laid = planned.repartitionByRange("slot", "place", "doc_id").sortWithinPartitions("slot", "place", "doc_id")
+    return laid.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
@@ -108,9 +112,11 @@ def in_file_order(docs: DataFrame) -> DataFrame:
 
     A scan deals out files and parts of files by size. A frame that is no scan of files is returned as it is.
     """
+    file, row = fresh(docs, "file", "row")
     try:
-        rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        scanned = docs.metadataColumn("_metadata")
+        rows = docs.select("*", scanned["file_name"].alias(file), scanned["row_index"].alias(row))
     except AnalysisException:
         return docs
-    place = (F.length("__file"), "__file", "__row")  # part numbers get longer beyond 99,999
-    return rows.repartitionByRange(*place).sortWithinPartitions(*place).select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = (F.length(file), file, row)  # part numbers get longer beyond 99,999
+    return rows.repartitionByRange(*place).sortWithinPartitions(*place).select(*map(named, docs.columns))

@@ -7,7 +7,9 @@ Every task tokenizes its share of the documents and packs it in blocks:
 3. the tiers are packed from the longest down.  A window opens with a document of its own tier; its gap
    takes the longest whole documents of the shorter tiers that fit, and only the last few tokens of the
    gap are a piece cut off the smallest document that is larger;
-4. windows of a tier are dealt to step groups of equal token count.
+4. a block's windows of each tier are dealt to step groups of `step_tokens` tokens, the costliest first, each to the
+   group with the least cost that has room; a window's cost is the sum of its pieces' squared lengths, as attention's is.
+   Groups then have equal token counts and next to equal costs; only the last of a tier is left with room for the next block.
 
 With `in_order` a block's windows are numbered by the places of their longest documents among the rows, not tier by tier,
 so sequence ids follow the order of the rows, to a block's accuracy, as far as the partitions do.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ship
+from sievework.llm.common import named, ship
 from sievework.llm.tokens import TokenStream
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long, step_tokens long"
@@ -52,17 +55,42 @@ class Packer:
         self.step_tokens = step_tokens
         self.in_order = in_order
         self.sequences = 0
-        self.in_tier: dict[int, int] = {}
+        self.groups = 0
+        self.rooms: dict[int, list[tuple[int, int, int]]] = {}  # tier -> (cost, group, windows it has room for)
         self.waiting: list[tuple[int, int, int]] = []  # (length, document, start)
 
-    def _emit(self, parts: list[tuple[int, int, int]], window: int, out: list) -> None:
-        offset, nth = 0, self.in_tier.get(window, 0)
-        self.in_tier[window] = nth + 1
-        group = nth // max(1, self.step_tokens // window)
-        for length, doc, start in parts:
-            out.append((doc, start, length, self.sequences, offset, window, group))
-            offset += length
-        self.sequences += 1
+    def _dealt(self, windows: list[tuple[list[tuple[int, int, int]], int]]) -> list[int]:
+        """The step group of each window."""
+        out = [0] * len(windows)
+        costs = [sum(length * length for length, _, _ in parts) for parts, _ in windows]
+        for tier in {w for _, w in windows}:
+            own = sorted((i for i, (_, w) in enumerate(windows) if w == tier), key=lambda i: -costs[i])
+            size = max(1, self.step_tokens // tier)
+            rooms = self.rooms.get(tier, [])
+            lack = len(own) - sum(r[2] for r in rooms)
+            for n in [size] * (max(0, lack) // size) + ([lack % size] if lack % size and lack > 0 else []):
+                rooms.append((0, self.groups, n))  # the last one takes only what there is now
+                self.groups += 1
+            heapify(rooms)
+            full = []
+            for i in own:
+                cost, group, room = heappop(rooms)
+                out[i] = group
+                if room > 1:
+                    heappush(rooms, (cost + costs[i], group, room - 1))
+                else:
+                    full.append((cost + costs[i], group))
+            last = max((g for _, g in full), default=None) if lack > 0 and lack % size else None
+            self.rooms[tier] = rooms + [(c, g, size - lack % size) for c, g in full if g == last]
+        return out
+
+    def _emit(self, windows: list[tuple[list[tuple[int, int, int]], int]], out: list) -> None:
+        for (parts, window), group in zip(windows, self._dealt(windows)):
+            offset = 0
+            for length, doc, start in parts:
+                out.append((doc, start, length, self.sequences, offset, window, group))
+                offset += length
+            self.sequences += 1
 
     def add(self, docs: list[tuple[int, int]]) -> list:
         """docs: (document, tokens). Gives the pieces of all windows that are now full."""
@@ -97,8 +125,7 @@ class Packer:
         if self.in_order:
             full_windows.sort(key=lambda w: w[0][0][1])
         out: list = []
-        for parts, window in full_windows:
-            self._emit(parts, window, out)
+        self._emit(full_windows, out)
         return out
 
     def finish(self) -> list:
@@ -118,7 +145,7 @@ class Packer:
                     length = need
                 parts.append((length, doc, start))
                 need -= length
-            self._emit(parts, window, out)
+            self._emit([(parts, window)], out)
         return out
 
 
@@ -169,5 +196,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     if any(t & (t - 1) or t < 1 for t in tiers):
         raise ValueError("context tiers must be powers of two")
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _pack_partition(it, tokenizer, end_id, tuple(tiers), step_tokens, block_tokens, in_order), SCHEMA)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import checkpointed
+from sievework.llm.common import checkpointed, named
 
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lev
 
     level: false-discovery rate among spans of kind random; random_level: the battery's significance level.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("t"))
     m_assign, p_assign = _found(F.col("t"), ASSIGN)
     values = F.when(F.size("m_assign") > 0, F.regexp_extract_all("t", F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>"))
     m_access, p_access = _found(F.col("t"), ACCESS)

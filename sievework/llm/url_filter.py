@@ -13,8 +13,8 @@ host.  A URL that no rule fits gets the default verdict.
 
 Defined results for odd input: a null URL or one without `://` has empty host and path and fits no rule (but an
 empty host never matches); a null id is carried; repeated rows are each judged; an empty table gives no rows;
-other columns are ignored whatever their names.  Probes per URL are (labels of its host) x (different path
-lengths among the rules).
+other columns are ignored whatever their names.  Probes per URL are at most (labels of the longest rule host) x (different path lengths among
+the rules), however many labels the URL's host has.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ship
+from sievework.llm.common import named, ship
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 _arrays: dict[str, "DigestArray"] = {}
@@ -51,14 +51,15 @@ class DigestArray:
         blobs = [s + b"\x00" + v.encode() for _, s, v in rows]
         ends = np.cumsum([0] + [len(b) for b in blobs]).astype("<u8")
         lengths = np.array(sorted({len(p) for _, p, _ in rules}), "<u8")
+        labels = max([0, *[h.count(".") + 1 for h, _, _ in rules]])
         with open(file, "wb") as f:
-            f.write(np.array([len(keys), len(lengths)], "<u8").tobytes() + lengths.tobytes() + keys.tobytes() + ends.tobytes() + b"".join(blobs))
+            f.write(np.array([len(keys), len(lengths), labels], "<u8").tobytes() + lengths.tobytes() + keys.tobytes() + ends.tobytes() + b"".join(blobs))
 
     def __init__(self, file: str):
         whole = np.memmap(file, np.uint8, "r")
-        n, m = whole[:16].view("<u8").tolist()
-        self.path_lengths = whole[16 : 16 + 8 * m].view("<u8").tolist()[::-1]
-        at = 16 + 8 * m
+        n, m, self.labels = whole[:24].view("<u8").tolist()
+        self.path_lengths = whole[24 : 24 + 8 * m].view("<u8").tolist()[::-1]
+        at = 24 + 8 * m
         self.keys = whole[at : at + 8 * n].view("<u8")
         self.ends = whole[at + 8 * n : at + 16 * n + 8].view("<u8")
         self.blob = whole[at + 16 * n + 8 :]
@@ -77,12 +78,13 @@ class DigestArray:
         return out
 
 
-def candidates(host: str, path: str, path_lengths: list[int]) -> list[tuple[str, str]]:
-    """Rules that could fit, in order of precedence."""
+def candidates(host: str, path: str, path_lengths: list[int], labels: int) -> list[tuple[str, str]]:
+    """Rules that could fit, in order of precedence. labels: of the longest rule host."""
     if not host:
         return []
-    labels = host.split(".")
-    found = [(".".join(labels[i:]), path[:n]) for i in range(len(labels)) for n in path_lengths if n <= len(path)]
+    last = host.rsplit(".", labels)
+    suffixes = [".".join(last[i:]) for i in range(1 if len(last) > labels else 0, len(last))]
+    found = [(h, path[:n]) for h in suffixes for n in path_lengths if n <= len(path)]
     return sorted(found, key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))
 
 
@@ -94,7 +96,7 @@ def _judge(batches: Iterator[pa.RecordBatch], name: str, default: str) -> Iterat
         ids, hosts, paths = batch.columns
         probes, counts, strings = [], [], []
         for host, path in zip(hosts.to_pylist(), paths.to_pylist()):
-            own = candidates(host, path, rules.path_lengths)
+            own = candidates(host, path, rules.path_lengths, rules.labels)
             counts.append(len(own))
             strings += own
             probes += [_joined(h, p) for h, p in own]
@@ -116,9 +118,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: s
     file = os.path.join(tempfile.mkdtemp(prefix="sievework-"), name)
     DigestArray.write(file, rules)
     spark.sparkContext.addFile(file)
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    url = F.coalesce(named(url_col).cast("string"), F.lit(""))
     after = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, "^[\\s\\S]*?://([\\s\\S]*)$", 1)).otherwise(F.lit(""))
-    split = pages.select(F.col(id_col).cast("long").alias("page_id"), after.alias("rest")).select(
+    split = pages.select(named(id_col).cast("long").alias("page_id"), after.alias("rest")).select(
         "page_id",
         F.translate(F.regexp_extract("rest", "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"),
         F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"),
