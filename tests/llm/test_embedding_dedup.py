@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.embedding_dedup import cover_tree, dual_links, near_duplicates
+from sievework.llm.embedding_dedup import _pack, _tree, cover_tree, dual_links, near_duplicates
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("pair", T.StringType())])
 
@@ -48,7 +49,7 @@ def clustered(rng, n, labels=2, dim=16):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_rows": 20}, {"chunk_rows": 30, "cell_rows": 50, "most_cells": 6}])
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 20}, {"chunk_rows": 30, "cell_rows": 50}, {"chunk_rows": 7, "cell_rows": 12, "sample_rows": 90}])
 def test_against_all_pairs(spark, options):
     rng = np.random.default_rng(1)
     rows = clustered(rng, 260)
@@ -71,6 +72,36 @@ def test_odd_vectors(spark):
     assert by[8] == [(2, 8, True)] * 2 and by[9] == [(2, 8, False)]
 
 
+def test_repeated_ids_have_links_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [-1.0, 0.0], 0)]
+    got = near_duplicates(table(spark, rows)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_extreme_components(spark):
+    wide = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("label", T.StringType())])
+    rows = [(-(2**63), [1e300, 1e300], "a"), (5, [1e-300, 1.01e-300], "a"), (2**63 - 1, [1e300, -1e300], "a")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, wide)).collect()}
+    assert got == {-(2**63): (1, -(2**63)), 5: (1, -(2**63)), 2**63 - 1: (0, 2**63 - 1)}
+
+
+def test_pruning_leaves_few_pairs(spark):
+    """Clusters within clusters: cells far apart never meet, at two levels."""
+    rng = np.random.default_rng(8)
+    top = rng.normal(size=(6, 32))
+    mid = top[rng.integers(6, size=40)] + rng.normal(size=(40, 32)) * 0.1
+    x = mid[rng.integers(40, size=1500)] + rng.normal(size=(1500, 32)) * 0.004
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    placed = table(spark, rows).select(F.col("vec_id").alias("rid"), "label", F.lit(1).cast("long").alias("weight"), F.col("embedding").alias("vector"))
+    placed = placed.mapInArrow(lambda it: _pack(it, "<f4"), "rid long, label int, weight long, vector binary, cell string, away double")
+    leaves, pairs = _tree(placed, "int", 0.98, 100, 1500, 8, "<f4")
+    sizes = {r["cell"]: r["count"] for r in leaves.groupBy("cell").count().collect()}
+    met = sum(sizes[r["a"]] * sizes[r["b"]] for r in pairs.collect())
+    assert len(sizes) >= 20 and met < 1500 * 1500 / 6
+    got = near_duplicates(table(spark, rows), cell_rows=100, sample_rows=1500).collect()
+    assert sorted(str((r["vec_id"], r["n_links"], r["component_id"])) for r in got) == expected(rows)
+
+
 def test_empty_table(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
