@@ -3,15 +3,19 @@
 A tolerant tokenizer feeds a tree builder that knows void elements, implied end tags (p, li, dt, dd, option, table
 parts) and raw-text elements.  Elements are rendered as they close, so nothing but the open elements is held:
 
-* hidden are head, script, style, template, noframes and the like, elements with `hidden`, `display:none` or
-  `visibility:hidden`, hidden inputs, closed `details` (but for the summary) and closed `dialog`;
+* hidden are head, script, style, template, noframes and the like, elements with `hidden` or `display:none`, hidden inputs,
+  closed `details` (but for the summary) and closed `dialog`; text under `visibility:hidden` doesn't show, but that of a
+  descendant with `visibility:visible` does;
 * white space collapses except in pre and textarea; br breaks the line; blocks stand on lines of their own, with
   a blank line around paragraphs, headings, lists, tables and the like;
 * list items have a bullet or their number, indented by depth, and definition descriptions are indented;
-* a table's cells are aligned: column widths come from all its rows, colspan is honoured, cells with several lines
-  stay beside each other.
+* a table's cells are aligned: column widths come from all its rows, colspan and rowspan are honoured, cells with several
+  lines stay beside each other.  Cells of more than `WIDEST` columns don't widen their column, and a table whose blanks would
+  outweigh its text many times over has two blanks between cells instead; tables nested very deep are blocks; nothing is cut off.
 
-No visible character is dropped: every text that isn't hidden appears, in document order (cells row by row).
+No visible character is dropped: every text that isn't hidden appears, in document order (cells row by row; text straight
+inside a table, outside its cells, comes before the table, as in browsers).  Time and memory are linear in the page: open elements
+are known by tag, so that no tag searches the elements that are open.
 
 Defined results for odd input: a null or empty page has empty text; stray, unclosed or misnested tags never fail;
 `<` that begins no tag is text; a null id is carried; repeated rows are each rendered; an empty table gives no
@@ -58,7 +62,11 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template head"
 _TAG = re.compile(r"</?([A-Za-z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+#: A cell of more columns than this doesn't widen its column; the blanks of a table, and how many columns it may span.
+WIDEST, BLANKS, MOST_COLUMNS = 100, 8, 1000
+#: Tables inside so many others are laid out as blocks, and indentation ends at so many columns.
+DEEPEST, MOST_INDENT = 24, 80
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict]]:
@@ -116,6 +124,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict]]:
             at = stop
 
 
+def styled(style: str) -> tuple[bool, str | None]:
+    """(display is none, visibility or None): of several declarations the last holds, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for m in _STYLE.finditer(style):
+        name, value, important = m[1].lower(), m[2].lower(), bool(m[3])
+        if important or not found.get(name, (False, ""))[0]:
+            found[name] = (important, value)
+    seen = found.get("visibility", (False, "inherit"))[1]
+    return found.get("display", (False, ""))[1] == "none", seen if seen in ("visible", "hidden", "collapse") else None
+
+
 def width(line: str) -> int:
     """Columns of a line in a fixed-width font."""
     if line.isascii():
@@ -163,7 +182,7 @@ class Flow:
             self.gap = False
             self.lines.append((self.indent + self.prefix + "".join(self.words)).rstrip())
             if self.prefix:
-                self.indent, self.prefix = self.indent + " " * width(self.prefix), ""
+                self.indent, self.prefix = (self.indent + " " * width(self.prefix))[:MOST_INDENT], ""
         self.words, self.space = [], False
 
     def block(self, spaced: bool) -> None:
@@ -186,52 +205,77 @@ class Flow:
 
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[Flow, int]]] = []
+        self.rows: list[list[tuple[Flow, int, int]]] = []
         self.above: Flow | None = None
 
-    def cell(self, span: int) -> Flow:
+    def cell(self, span: int, down: int) -> Flow:
         if not self.rows:
             self.rows.append([])
         flow = Flow()
-        self.rows[-1].append((flow, span))
+        self.rows[-1].append((flow, span, down))
         return flow
 
-    def done(self) -> list[str]:
-        rows = [[(flow.done(), span) for flow, span in row] for row in self.rows]
-        rows = [row for row in rows if any(lines for lines, _ in row)]
-        wide: list[int] = []
-        for row in rows:
-            at = 0
-            for lines, span in row:
-                wide += [0] * (at + span - len(wide))
-                if span == 1:
-                    wide[at] = max([wide[at], *map(width, lines)])
-                at += span
-        for row in rows:  # what a spanning cell lacks goes to its last column
-            at = 0
-            for lines, span in row:
-                lack = max([0, *map(width, lines)]) - sum(wide[at : at + span]) - 2 * (span - 1)
-                if span > 1 and lack > 0:
-                    wide[at + span - 1] += lack
+    def _placed(self) -> list[list[tuple[int, int, list[str], int]]]:
+        """Per row that has text, its cells as (first column, columns, lines, width)."""
+        until: list[int] = []  # the row where each column is free again
+        out = []
+        for nth, row in enumerate(self.rows):
+            at, cells = 0, []
+            for flow, span, down in row:
+                while at < len(until) and until[at] > nth:
+                    at += 1
+                span = max(1, min(span, MOST_COLUMNS - at))
+                until += [0] * (at + span - len(until))
+                if down != 1:
+                    until[at : at + span] = [nth + down if down else len(self.rows)] * span
+                lines = flow.done()
+                cells.append((at, span, lines, max([0, *map(width, lines)])))
                 at += span
+            if any(lines for _, _, lines, _ in cells):
+                out.append(cells)
+        return out
+
+    def done(self) -> list[str]:
+        rows = self._placed()
+        wide = [0] * max([0, *(at + span for cells in rows for at, span, _, _ in cells)])
+        for cells in rows:
+            for at, span, _, w in cells:
+                if span == 1 and w <= WIDEST:
+                    wide[at] = max(wide[at], w)
+        for cells in rows:  # what a spanning cell lacks goes to its last column
+            for at, span, _, w in cells:
+                if span > 1 and w <= WIDEST * span:
+                    lack = w - sum(wide[at : at + span]) - 2 * (span - 1)
+                    wide[at + span - 1] += max(0, min(lack, WIDEST))
+        starts = [0]
+        for w in wide:
+            starts.append(starts[-1] + w + 2)
+        filled = sum(starts[cells[-1][0]] * max(len(lines) for _, _, lines, _ in cells) for cells in rows)
+        aligned = filled <= 2000 + BLANKS * sum(len(line) for cells in rows for _, _, lines, _ in cells for line in lines)
         out = list(self.above.done()) if self.above else []
-        for row in rows:
-            for k in range(max(len(lines) for lines, _ in row)):
-                line, at = "", 0
-                for lines, span in row:
+        for cells in rows:
+            cells = cells if aligned else [c for c in cells if c[2]]
+            for k in range(max(len(lines) for _, _, lines, _ in cells)):
+                parts, upto = [], 0
+                for at, _, lines, _ in cells:
                     part = lines[k] if k < len(lines) else ""
-                    line += part + " " * (sum(wide[at : at + span]) + 2 * (span - 1) - width(part) + 2)
-                    at += span
-                out.append(line.rstrip())
+                    if aligned and part:
+                        gap = max(starts[at] - upto, 2 if parts else 0)
+                        parts.append(" " * gap + part)
+                        upto += gap + width(part)
+                    elif part:
+                        parts.append("  " + part if parts else part)
+                out.append("".join(parts).rstrip())
         return out
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "keep", "flow", "table", "count", "indent", "shut")
+    __slots__ = ("tag", "hidden", "unseen", "keep", "flow", "table", "count", "indent", "shut")
 
     def __init__(self, tag: str, parent: "Element | None"):
         self.tag = tag
         self.hidden = parent.hidden if parent else False
+        self.unseen = parent.unseen if parent else False  # visibility: its text doesn't show, a descendant's may
         self.keep = parent.keep if parent else False
         self.flow = parent.flow if parent else Flow()
         self.table = parent.table if parent else None
@@ -243,26 +287,42 @@ class Element:
 class Renderer:
     def __init__(self) -> None:
         self.open = [Element("#root", None)]
+        self.places: dict[str, list[int]] = {}  # tag -> places of its open elements
+        self.blocks: list[int] = []  # places of open block elements
+        self.lists: list[Element] = []
 
     @property
     def top(self) -> Element:
         return self.open[-1]
 
+    def _last(self, tags: set | frozenset) -> int:
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=0)
+
     def _find(self, tags: set | frozenset, beyond: set) -> int | None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                return i
-            if self.open[i].tag in beyond:
-                return None
-        return None
+        """The place of the last open element with one of the tags, unless one beyond which none is looked for comes after it."""
+        i = self._last(tags)
+        return i if i and i >= self._last(beyond) else None
 
     def _spaced(self, tag: str) -> bool:
         """Whether blank lines go around the block; not around a list inside a list item."""
-        return tag in SPACED and not (tag in LISTS and any(x.tag == "li" for x in self.open))
+        return tag in SPACED and not (tag in LISTS and self.places.get("li"))
+
+    def _push(self, e: Element) -> None:
+        if e.tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.places.setdefault(e.tag, []).append(len(self.open))
+        self.open.append(e)
 
     def _close_to(self, i: int) -> None:
         while len(self.open) > i:
-            self._leave(self.open.pop())
+            e = self.open.pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
+            if e.tag != "#closed":
+                self.places[e.tag].pop()
+            if self.lists and self.lists[-1] is e:
+                self.lists.pop()
+            self._leave(e)
 
     def _leave(self, e: Element) -> None:
         if e.hidden:
@@ -285,14 +345,16 @@ class Renderer:
             self._close_to(len(self.open) - 1)
         if tag in ENDS_P and (i := self._find({"p"}, {"table", "td", "th", "button"})) is not None:
             self._close_to(i)
-        if tag in ("html", "body") and any(x.tag == tag for x in self.open):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         parent = self.top
         e = Element(tag, parent)
         if parent.shut and tag != "summary":
             e.hidden = True
-        style = attrs.get("style", "")
-        if tag in UNSEEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or style and _HIDDEN.search(style) or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs:
+        gone, seen = styled(attrs["style"]) if "style" in attrs else (False, None)
+        if seen:
+            e.unseen = seen != "visible"
+        if tag in UNSEEN or "hidden" in attrs and attrs["hidden"].lower() != "until-found" or gone or tag == "input" and attrs.get("type", "").lower() == "hidden" or tag == "dialog" and "open" not in attrs:
             e.hidden = True
         if tag == "details" and "open" not in attrs:
             e.shut = True
@@ -304,13 +366,16 @@ class Renderer:
                     e.flow.block(True)
                 elif tag == "wbr":
                     pass
-                elif tag == "input" and attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url") and attrs.get("value"):
+                elif tag == "input" and attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url") and attrs.get("value") and not e.unseen:
                     e.flow.text(f" {attrs['value']} ", False)
             return
-        self.open.append(e)
+        self._push(e)
         if e.hidden:
             return
-        if tag == "table":
+        if tag == "table" and len(self.places["table"]) > DEEPEST:
+            e.flow.block(True)
+            e.table = None
+        elif tag == "table":
             e.flow.block(True)
             e.table = Table()
             e.flow = Flow()  # text between cells
@@ -318,26 +383,29 @@ class Renderer:
         elif tag == "tr" and e.table is not None:
             e.table.rows.append([])
         elif tag in ("td", "th") and e.table is not None:
-            span = attrs.get("colspan", "1")
-            e.flow = e.table.cell(max(1, min(1000, int(span))) if span.isascii() and span.isdigit() and len(span) < 5 else 1)
+            e.flow = e.table.cell(max(1, _number(attrs.get("colspan", ""), MOST_COLUMNS)), _number(attrs.get("rowspan", ""), 65534))
             e.table = None
         elif tag in BLOCK:
             e.flow.block(self._spaced(tag))
             if tag in ("pre", "textarea"):
                 e.keep = True
             elif tag in LISTS:
+                self.lists.append(e)
                 e.count = int(attrs["start"]) if tag == "ol" and re.fullmatch(r"-?[0-9]{1,9}", attrs.get("start", "")) else 1
             elif tag == "li":
                 e.indent = e.flow.indent
-                mark = next((x for x in reversed(self.open[:-1]) if x.count is not None), None)
+                mark = self.lists[-1] if self.lists else None
                 if mark is not None and mark.tag == "ol":
-                    e.flow.prefix = f"{mark.count}. "
+                    if re.fullmatch(r"-?[0-9]{1,9}", attrs.get("value", "")):
+                        mark.count = int(attrs["value"])
+                    if not e.unseen:
+                        e.flow.prefix = f"{mark.count}. "
                     mark.count += 1
-                else:
+                elif not e.unseen:
                     e.flow.prefix = "- "
             elif tag in ("dd", "blockquote"):
                 e.indent = e.flow.indent
-                e.flow.indent += "    "
+                e.flow.indent = (e.flow.indent + "    ")[:MOST_INDENT]
         elif tag == "textarea":
             e.keep = True
 
@@ -353,7 +421,8 @@ class Renderer:
         i = self._find({tag}, beyond)
         if i is None:
             return
-        if tag not in BLOCK and tag not in UNSEEN and any(x.tag in BLOCK for x in self.open[i + 1 :]):
+        if tag not in BLOCK and tag not in UNSEEN and self.blocks and self.blocks[-1] > i:
+            self.places[tag].pop()
             self.open[i].tag = "#closed"  # a misnested inline element ends without closing the blocks inside it
             if not self.open[i].hidden:
                 return
@@ -366,10 +435,14 @@ class Renderer:
                 return
             self._close_to(len(self.open) - 1)
             e = self.top
-        if not e.hidden and not e.shut:
+        if not e.hidden and not e.shut and not e.unseen:
             e.flow.text(data, e.keep)
 
 
+def _number(text: str, most: int) -> int:
+    return min(most, int(text)) if text.isascii() and text.isdigit() and len(text) < 7 else 1
+
+
 def render(page: str | None) -> str:
     """The visible text of a page."""
     if not page:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -109,3 +110,39 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (1, "<p>a", "x"), (None, None, "y"), (2, "", "z")], "page_id long, html string, text string").repartition(2)
     assert sorted(map(str, map(tuple, extract_text(df).collect()))) == sorted(map(str, [(1, "a", 1), (1, "a", 1), (None, "", 0), (2, "", 0)]))
     assert extract_text(df.limit(0)).count() == 0
+
+
+def test_visibility_and_display():
+    hidden = "<div style='visibility:hidden'>a<b style='visibility:visible'>shown</b>c</div>"
+    assert render(hidden) == "shown"
+    assert render("<div style='display:none'>a<b style='visibility:visible;display:block'>b</b></div>x") == "x"
+    assert render("<p style='display:none;display:block'>x</p>") == "x" and render("<p style='display:none!important;display:block'>x</p>") == ""
+    assert render("<ul style='visibility:collapse'><li>a<li style='visibility:visible'>b</ul>") == "- b"
+
+
+def test_rowspan_and_item_values():
+    page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>"
+    assert render(page).split("\n") == ["a  b  c", "   d  e", "f  g  h"]
+    assert render("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>").split("\n") == ["a  b", "   c", "   d"]
+    assert render("<ol><li>a<li value=7>b<li>c</ol>").split("\n") == ["1. a", "7. b", "8. c"]
+
+
+def test_padding_is_bounded():
+    """A wide cell beside very many short ones, and a far column in every row."""
+    pages = ["<table><tr><td>" + "w " * 20000 + "<td>x" + "<tr><td>a<td>b" * 4000 + "</table>"]
+    pages.append("<table><tr>" + "<td>column" * 900 + "<tr><td>a<td colspan=898><td>z" * 2000 + "</table>")
+    pages.append("<table><tr><td>" + "line<br>" * 3000 + "<td>" + "<tr><td><td>" + "r" * 90 + "</table>")
+    for page in pages:
+        text = render(page)
+        assert len(text) < 12 * len(page)
+        assert sorted("".join(text.split())) == sorted(re.sub(r"<[^>]*>|\s", "", page))
+
+
+@pytest.mark.parametrize("shape", ["<div>{n}", "<b>{n}", "<ul><li>{n}", "<span>{n}", "<p><table><tr><td>{n}"])
+def test_nesting_is_linear(shape):
+    """A hundred thousand open elements, among them many tags that look for open ones."""
+    tag = shape.replace("{n}", "")
+    began = time.perf_counter()
+    text = render("<a>" + tag * (100_000 // tag.count("<")) + "x" + "</a><li>y</i><p>z" * 1000)
+    assert "x" in text and time.perf_counter() - began < 20 and len(text) < 2_000_000
+    assert text.count("z") == 1000
