@@ -60,15 +60,30 @@ def _found(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(hit, F.split(text, pattern, -1)).otherwise(none)
 
 
-def _places(matches: str, pieces: str) -> Column:
-    """array<struct<s int, e int, m string>> in code points."""
+#: Matches are placed in blocks of so many, so that no list grows match by match over a whole text.
+_BLOCK = 64
+
+
+def _places(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """For each kind, from m_kind and p_kind, array<struct<s int, e int, m string>> in code points."""
+    rest = [c for c in rows.columns if c not in {f"{x}_{k}" for x in "mp" for k in kinds}]
     empty = "cast(array() as array<struct<s:int,e:int,m:string>>)"
-    return F.expr(
-        f"aggregate(zip_with({matches}, slice({pieces}, 1, size({matches})), (m, p) -> struct(m, char_length(p) as gap)), "
-        f"struct(0 as at, {empty} as out), "
-        "(a, x) -> struct(a.at + x.gap + char_length(x.m) as at, "
-        "concat(a.out, array(named_struct('s', a.at + x.gap, 'e', a.at + x.gap + char_length(x.m), 'm', x.m))) as out), a -> a.out)"
-    )
+    paired = rows.select(*rest, *[F.expr(f"zip_with(m_{k}, slice(p_{k}, 1, size(m_{k})), (m, p) -> struct(m, char_length(p) as gap, char_length(m) as n))").alias(k) for k in kinds])
+    cut = paired.select(*rest, *[F.expr(f"transform(sequence(0, greatest(0, (size({k}) - 1) div {_BLOCK})), b -> slice({k}, b * {_BLOCK} + 1, {_BLOCK}))").alias(k) for k in kinds])
+    begun = cut.select(*rest, *kinds, *[
+        F.expr(
+            f"aggregate(transform({k}, b -> aggregate(b, 0, (a, x) -> a + x.gap + x.n)), struct(0 as at, cast(array() as array<int>) as out), "
+            "(a, x) -> struct(a.at + x as at, concat(a.out, array(a.at)) as out), a -> a.out)"
+        ).alias(f"at_{k}")
+        for k in kinds
+    ])
+    return begun.select(*rest, *[
+        F.expr(
+            f"flatten(zip_with({k}, at_{k}, (b, low) -> aggregate(b, struct(low as at, {empty} as out), (a, x) -> struct(a.at + x.gap + x.n as at, "
+            "concat(a.out, array(named_struct('s', a.at + x.gap, 'e', a.at + x.gap + x.n, 'm', x.m))) as out), a -> a.out)))"
+        ).alias(k)
+        for k in kinds
+    ])
 
 
 def normal_tail(z: Column) -> Column:
@@ -155,7 +170,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lev
     m_any, p_any = _found(F.col("t"), CANDIDATE)
     parts = rows.select("doc_id", "t", m_assign.alias("m_assign"), p_assign.alias("p_assign"), m_access.alias("m_access"), p_access.alias("p_access"), m_hex.alias("m_hex"), p_hex.alias("p_hex"), m_any.alias("m_any"), p_any.alias("p_any"))
     parts = parts.withColumn("values", values).drop("t")
-    places = parts.select("doc_id", "values", *[_places(f"m_{k}", f"p_{k}").alias(k) for k in ("assign", "access", "hex", "any")])
+    places = _places(parts, ("assign", "access", "hex", "any"))
     kept = places.select(
         "doc_id",
         F.expr("filter(transform(assign, (x, i) -> named_struct('s', x.s, 'e', x.e, 'm', values[i])), x -> char_length(x.m) >= 8)").alias("assign"),

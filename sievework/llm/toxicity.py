@@ -265,4 +265,5 @@ def reject(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "tex
     """The rows of docs that score below the threshold, with all their columns."""
     ship(docs.sparkSession)
     text_at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _reject(it, model, text_at, threshold), docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of any kind don't reach the workers
+    return plain.mapInArrow(lambda it: _reject(it, model, text_at, threshold), plain.schema).toDF(*docs.columns)

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 
 from sievework.llm.queries import op6_secret_scan
-from sievework.llm.secrets import scan
+from sievework.llm.secrets import CANDIDATE, ENCODINGS, TEXT_SAME, TEXT_SPREAD, scan
 from tests.llm.tables import docs, odd_rows, prose
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -60,6 +62,59 @@ def test_random_tokens_are_told_from_words(spark):
     assert not any(s.startswith("random") for k in got if k >= 1000 for s in got[k])
 
 
+def tail(z):
+    return 1 / (1 + math.exp(max(-30.0, min(30.0, 1.5976 * z + 0.07056 * z**3))))
+
+
+def tests_of(token):
+    """(letters, battery's p, -log10 of the chance of text-like letters to look as uniform) of one candidate."""
+    body = token.rstrip("=")
+    letters = next(x for _, pattern, x in ENCODINGS if re.fullmatch(pattern, token))
+    codes = [letters.find(c) for c in body]
+    n, k = float(len(codes)), float(len(letters))
+    chi = k / n * sum(body.count(c) ** 2 for c in letters) - n
+    up = sum(c >= k / 2 for c in codes)
+    runs = 1 + sum((a >= k / 2) != (b >= k / 2) for a, b in zip(codes, codes[1:]))
+    off = [c - sum(codes) / n for c in codes]
+    spread, cross = sum(x * x for x in off), 2 * up * (n - up)
+    z_runs = 9.0 if cross <= n else (runs - 1 - cross / n) / math.sqrt(cross * (cross - n) / (n * n * (n - 1)))
+    z_lag = 9.0 if spread <= 0 else (sum(a * b for a, b in zip(off, off[1:])) / spread + 1 / n) * math.sqrt(n)
+    least = min(1.0, tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)), 2 * tail(abs(z_runs)), 2 * tail(abs(z_lag)))
+    mean = (k - 1) + (n - 1) * (k * max(TEXT_SAME, 1.8 / k) - 1)
+    z_text = (mean - chi) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * k * k * TEXT_SPREAD)
+    return n, 1 - (1 - least) ** 3, -math.log10(tail(z_text))
+
+
+def random_spans(texts, level=1e-3, random_level=1e-3):
+    """All spans of kind random by loops: (text, start, end)."""
+    found = [(t, m.start(), m.end(), *tests_of(m[0])) for t, text in enumerate(texts) for m in re.finditer(CANDIDATE, text)]
+    mean = sum(x[3] for x in found) / max(1, len(found))
+    bins = [max(0, min(4000, math.floor((x[5] + math.log10(x[3] / mean)) * 100))) / 100 for x in found]
+    passing = [b for b in set(bins) if 10**-b <= level * sum(x >= b for x in bins) / len(bins)]
+    return {x[:3] for x, b in zip(found, bins) if passing and b >= min(passing) and x[4] >= random_level}
+
+
+def test_random_spans_by_loops(spark):
+    rng = random.Random(9)
+    letters = [x for _, _, x in ENCODINGS]
+    texts = [""]
+    for k in range(150):
+        alphabet = letters[k % len(letters)]
+        texts.append(f"{prose(rng, 5)} {''.join(rng.choice(alphabet) for _ in range(rng.randint(18, 160)))} {'ab' * rng.randint(8, 30)} {'thequickbrownfox' * 2}")
+    want = random_spans(texts)
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("random")] for r in scan(docs(spark, list(enumerate(texts)))).collect()}
+    assert len(want) > 40 and {(t, *map(int, s.split(":")[1:])) for t in got for s in got[t]} == want
+
+
+def test_very_many_matches(spark):
+    """Time grows with the text, not with the square of its matches; places are right beyond the blocks."""
+    text = " ".join(f"{'0123456789abcdef' * 2} token=abcdefgh{k % 10}" for k in range(50_000))
+    began = time.perf_counter()
+    row = scan(docs(spark, [(1, text)], 1)).collect()[0]
+    assert time.perf_counter() - began < 120
+    assert (row["n_assign"], row["n_hex"], row["base_spans"]) == (50_000, 50_000, joined(base(text)))
+
+
 def test_empty_table(spark):
     assert scan(docs(spark, [])).count() == 0
 
