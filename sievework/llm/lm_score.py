@@ -22,11 +22,13 @@ of [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
 
 Defined results for odd input: a null, empty or blank text has no words and the score 0; a null id is carried; repeated rows
 are scored each, with the other's counts; an empty table gives no rows; other columns are ignored whatever
-their names.  The input must be readable twice with the same partitions (a table is; checkpoint anything else).
+their names.  The input must be readable twice with the same partitions (a table is; checkpoint anything else): a
+block's checksum travels with its n-grams, and a block that is read differently the second time raises.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ from sievework.llm.common import named, runs, ship
 
 _OTHER = np.uint64(0x5851F42D4C957F2D)
 _squeeze, _unsqueeze = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_squeeze_texts = zstandard.ZstdCompressor(level=7)
 
 
 def _planes(values: np.ndarray, width: int) -> bytes:
@@ -69,12 +72,21 @@ def gram_keys(column: pa.Array, order: int, bucket_bits: int) -> tuple[list[tupl
     return out, index
 
 
-def _ranked(bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by bucket and key, where in that order each different pair begins)."""
-    by = np.argsort(keys)
-    by = by[np.argsort(bucket[by], kind="stable")]
-    b, k = bucket[by], keys[by]
-    return by, np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (b[1:] != b[:-1]))) if len(by) else np.zeros(0, np.int64)
+def _slices(grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, order, bounds): the n-grams of all orders dealt out by bucket; bounds of each bucket's part."""
+    bucket, keys = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    return keys[order], order, np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << bucket_bits)))
+
+
+def _starts(ranked: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+
+
+def _check(rows: pa.Table) -> int:
+    """A checksum of a block's texts."""
+    data, offsets = textnum.text_buffer(rows.column(1))
+    return zlib.crc32(np.ascontiguousarray(data), zlib.crc32(offsets.tobytes()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, pa.Table]]:
@@ -108,21 +120,22 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _requests(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     for block, rows in _blocks(batches, block_bytes):
-        grams, _ = gram_keys(rows.column(1), order, bucket_bits)
-        bucket, keys = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
-        del grams
-        by, first = _ranked(bucket, keys)
-        counts = np.diff(np.append(first, len(keys)))
-        bucket, keys = bucket[by[first]], keys[by[first]]
-        del by
-        bounds = np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << bucket_bits)))
+        check = _check(rows)
+        keys, _, bounds = _slices(gram_keys(rows.column(1), order, bucket_bits)[0], bucket_bits)
         some = np.flatnonzero(np.diff(bounds))
+        packed, counted = [], []
+        for b in some.tolist():
+            ranked = np.sort(keys[bounds[b] : bounds[b + 1]])
+            first = _starts(ranked)
+            packed.append(_planes(np.diff(ranked[first], prepend=np.uint64(0)), 8))
+            counted.append(_planes(np.diff(np.append(first, len(ranked))), 4))
         yield pa.RecordBatch.from_arrays([
             pa.array(some, pa.int64()),
             pa.array(np.full(len(some), block), pa.int64()),
-            pa.array([_planes(np.diff(keys[bounds[b] : bounds[b + 1]], prepend=np.uint64(0)), 8) for b in some], pa.binary()),
-            pa.array([_planes(counts[bounds[b] : bounds[b + 1]], 4) for b in some], pa.binary()),
-        ], names=["bucket", "block", "keys", "counts"])
+            pa.array(np.full(len(some), check), pa.int64()),
+            pa.array(packed, pa.binary()),
+            pa.array(counted, pa.binary()),
+        ], names=["bucket", "block", "check", "keys", "counts"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +151,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out[by] = np.repeat(total, np.diff(np.append(first, len(keys))))
         bounds = np.cumsum([0] + [len(p) for p in parts])
         answers = [_planes(out[a:b], 6) for a, b in zip(bounds[:-1], bounds[1:])]
-        yield pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(answers, pa.binary())], names=["block", "part", "data"])
+        yield pa.RecordBatch.from_arrays([rows.column("block").combine_chunks(), rows.column("bucket").combine_chunks(), rows.column("check").combine_chunks(), pa.array(answers, pa.binary())], names=["block", "part", "check", "data"])
 
 
 def _carried(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -146,7 +159,7 @@ def _carried(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema) as w:
             w.write_table(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([_squeeze.compress(sink.getvalue())], pa.binary())], names=["block", "part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([_check(rows)], pa.int64()), pa.array([_squeeze_texts.compress(sink.getvalue())], pa.binary())], names=["block", "part", "check", "data"])
 
 
 def _own_counts(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -164,18 +177,28 @@ def _own_counts(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, total: int, alpha: float, leave_one_out: bool) -> Iterator[pa.RecordBatch]:
     for got in runs(batches, "block"):
         parts, data = got.column("part").to_pylist(), got.column("data").to_pylist()
+        if parts[0] != -1 or len(set(got.column("check").to_pylist())) > 1:
+            raise RuntimeError("the documents were not read the same way twice: checkpoint the input first")
         docs = pa.ipc.open_stream(_unsqueeze.decompress(data[0])).read_all()
-        corpus = np.concatenate([np.zeros(0, np.uint64), *[_unplanes(x, 6) for x, p in zip(data, parts) if p >= 0]]).astype(np.int64)
+        corpus = {p: x for p, x in zip(parts[1:], data[1:])}
         del got, data
         grams, index = gram_keys(docs.column(1), order, bucket_bits)
         lengths = np.diff(index)
         text = np.repeat(np.arange(len(lengths)), lengths)
-        by, first = _ranked(*(np.concatenate([g[i] for g in grams]) for i in (0, 1)))
+        keys, dealt, bounds = _slices(grams, bucket_bits)
         grams = [at for _, _, at in grams]
-        rank = np.empty(len(by), np.int32)
-        rank[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(by))))
-        counts = corpus[rank]
-        del by, first, corpus
+        rank, counts = np.empty(len(keys), np.int32), np.empty(len(keys), np.int64)
+        done = 0
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            low, high = bounds[b], bounds[b + 1]
+            by = np.argsort(keys[low:high])
+            first = _starts(keys[low:high][by])
+            sizes = np.diff(np.append(first, high - low))
+            at = dealt[low:high][by]
+            rank[at] = np.repeat(np.arange(done, done + len(first), dtype=np.int32), sizes)
+            counts[at] = np.repeat(_unplanes(corpus[b], 6).astype(np.int64), sizes)
+            done += len(first)
+        del keys, dealt, corpus
         words = len(text)
         table = np.zeros((order, words), np.int64)  # by the position of the n-gram's first word
         done = 0
@@ -209,7 +232,7 @@ def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, tot
         ], names=["doc_id", "n_words", "log_score", "n_full", "n_unseen"])
 
 
-def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, leave_one_out: bool = True, block_bytes: int = 4 << 20, bucket_keys: int = 1 << 21) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, leave_one_out: bool = True, block_bytes: int = 16 << 20, bucket_keys: int = 1 << 21) -> DataFrame:
     """(doc_id, n_words, log_score, n_full, n_unseen) of every row.
 
     n_full: words scored with their full context of order - 1 words; n_unseen: words that occur in no other document.
@@ -218,8 +241,8 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     total, size = (x or 0 for x in rows.select("text").mapInArrow(_measure, "words long, size long").agg(F.sum("words"), F.sum("size")).first())
     bucket_bits = min(22, max(3, (total * order // bucket_keys).bit_length()))
-    requests = rows.mapInArrow(lambda it: _requests(it, order, bucket_bits, block_bytes), "bucket long, block long, keys binary, counts binary")
-    answers = requests.repartition(1 << bucket_bits - 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, part long, data binary")
-    carried = rows.mapInArrow(lambda it: _carried(it, block_bytes), "block long, part long, data binary")
+    requests = rows.mapInArrow(lambda it: _requests(it, order, bucket_bits, block_bytes), "bucket long, block long, check long, keys binary, counts binary")
+    answers = requests.repartition(1 << bucket_bits - 2, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, part long, check long, data binary")
+    carried = rows.mapInArrow(lambda it: _carried(it, block_bytes), "block long, part long, check long, data binary")
     met = carried.union(answers).repartition(1 + size // (2 * block_bytes), "block").sortWithinPartitions("block", "part")
     return met.mapInArrow(lambda it: _sum_up(it, order, bucket_bits, total, alpha, leave_one_out), "doc_id long, n_words long, log_score double, n_full long, n_unseen long")

@@ -1,12 +1,14 @@
 """Operator 1 against counting in dictionaries."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from sievework.llm.lm_score import stupid_backoff
+from sievework.llm.lm_score import gram_keys, stupid_backoff
 from sievework.llm.queries import OP1_SQL, op1_lm_score
 from tests.conftest import canonical, duck
 from tests.llm.tables import docs, odd_rows
@@ -63,7 +65,27 @@ def test_sql(spark):
 
 
 def test_words_whose_hashes_begin_alike(spark):
-    """The keys of these two words share their leading 43 bits: neither occurs in the other's document."""
-    rows = [(1, "one w4884671 two"), (2, "three w651967")]
+    """The keys of these two words share their bucket and leading 42 bits: neither occurs in the other's document."""
+    (_, keys, _), *_ = gram_keys(pa.array(["w5224275 w6384291"]), 1, 3)[0]
+    assert keys[0] >> 22 == keys[1] >> 22 and keys[0] != keys[1]
+    rows = [(1, "one w5224275 two"), (2, "three w6384291")]
     got = {r["doc_id"]: r["n_unseen"] for r in stupid_backoff(docs(spark, rows)).collect()}
     assert got == {1: 3, 2: 2}
+
+
+def test_an_input_that_changes_between_reads_raises(spark):
+    def changing(frames):
+        for frame in frames:
+            yield frame.assign(text=frame.text + f" word{random.random()}")
+
+    rows = docs(spark, [(k, f"some words {k}") for k in range(50)]).select("doc_id", "text")
+    with pytest.raises(Exception, match="checkpoint the input first"):
+        stupid_backoff(rows.mapInPandas(changing, rows.schema)).collect()
+
+
+def test_blocks_and_frequent_words(spark):
+    """Blocks of one document each, a word in all of them, and words that collide under polynomial hashes."""
+    morse = "".join("xy"[k.bit_count() & 1] for k in range(1024))
+    rows = [(k, f"the the {k % 7} of {k % 3} the end") for k in range(300)] + [(1000, morse), (1001, morse.translate(str.maketrans("xy", "yx")))]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_full"], r["n_unseen"]) for r in stupid_backoff(docs(spark, rows, 5), block_bytes=1, bucket_keys=50).collect())
+    assert got == [w[:2] + w[3:] for w in expected(rows, 3)]
