@@ -72,11 +72,31 @@ def gram_keys(column: pa.Array, order: int, bucket_bits: int) -> tuple[list[tupl
     return out, index
 
 
-def _slices(grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, order, bounds): the n-grams of all orders dealt out by bucket; bounds of each bucket's part."""
+def _parts(rows: pa.Table, size: int = 2 << 20) -> Iterator[pa.ChunkedArray]:
+    """The texts of a block in parts of whole texts, of some `size` bytes, so that little is held for each word."""
+    upto = np.cumsum(np.diff(textnum.text_buffer(rows.column(1))[1]))
+    low = 0
+    while low < rows.num_rows:
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + size)))
+        yield rows.column(1).slice(low, high - low)
+        low = high
+
+
+def _dealt(grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, places, bounds): the n-grams of all orders by bucket, where each was before, bounds of the buckets."""
     bucket, keys = (np.concatenate([g[i] for g in grams]) for i in (0, 1))
-    order = np.argsort(bucket, kind="stable").astype(np.int32)
-    return keys[order], order, np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << bucket_bits)))
+    places = np.argsort(bucket, kind="stable")
+    return keys[places], places, np.append(0, np.cumsum(np.bincount(bucket, minlength=1 << bucket_bits)))
+
+
+def _block_keys(rows: pa.Table, order: int, bucket_bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, sorted keys) of a block, for each bucket that it has n-grams in."""
+    parts = [_dealt(gram_keys(texts, order, bucket_bits)[0], bucket_bits)[::2] for texts in _parts(rows)]
+    for b in range(1 << bucket_bits):
+        own = np.concatenate([keys[bounds[b] : bounds[b + 1]] for keys, bounds in parts] or [np.zeros(0, np.uint64)])
+        if len(own):
+            own.sort()
+            yield b, own
 
 
 def _starts(ranked: np.ndarray) -> np.ndarray:
@@ -121,12 +141,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _requests(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     for block, rows in _blocks(batches, block_bytes):
         check = _check(rows)
-        keys, _, bounds = _slices(gram_keys(rows.column(1), order, bucket_bits)[0], bucket_bits)
-        some = np.flatnonzero(np.diff(bounds))
-        packed, counted = [], []
-        for b in some.tolist():
-            ranked = np.sort(keys[bounds[b] : bounds[b + 1]])
+        some, packed, counted = [], [], []
+        for b, ranked in _block_keys(rows, order, bucket_bits):
             first = _starts(ranked)
+            some.append(b)
             packed.append(_planes(np.diff(ranked[first], prepend=np.uint64(0)), 8))
             counted.append(_planes(np.diff(np.append(first, len(ranked))), 4))
         yield pa.RecordBatch.from_arrays([
@@ -164,7 +182,7 @@ def _carried(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa
 
 def _own_counts(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
     """How often each n-gram, by its rank in the block, occurs in its own text."""
-    both = text.astype(np.int64) << 32 | rank
+    both = text.astype(np.int64) << 36 | rank
     by = np.argsort(both)
     ranked = both[by]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(both) else np.zeros(0, np.int64)
@@ -174,6 +192,47 @@ def _own_counts(rank: np.ndarray, text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _score_part(texts: pa.ChunkedArray, table_of: dict[int, tuple[int, np.ndarray, np.ndarray]], order: int, bucket_bits: int, total: int, alpha: float, leave_one_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, log score, words with full context, words unseen) of each text. table_of: bucket -> (rank of its first key, keys, counts)."""
+    grams, index = gram_keys(texts, order, bucket_bits)
+    lengths = np.diff(index)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    keys, places, bounds = _dealt(grams, bucket_bits)
+    rank, counts = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        here = slice(bounds[b], bounds[b + 1])
+        first, known, corpus = table_of[b]
+        at = np.searchsorted(known, keys[here])
+        rank[places[here]], counts[places[here]] = first + at, corpus[at]
+    grams = [at for _, _, at in grams]
+    del keys, places
+    words = len(text)
+    table = np.zeros((order, words), np.int64)  # by the position of the n-gram's first word
+    done = 0
+    for n, at in enumerate(grams):
+        here = slice(done, done + len(at))
+        table[n, at] = counts[here] - (_own_counts(rank[here], text[at]) if leave_one_out else 0)
+        done += len(at)
+    place = np.arange(words) - index[:-1][text]
+    base = total - lengths[text] * leave_one_out
+    score = np.zeros(words)
+    used = np.zeros(words, np.int64)
+    todo = np.ones(words, bool)
+    top = np.minimum(place + 1, order)
+    for n in range(order, 0, -1):
+        here = np.flatnonzero(todo & (top >= n))
+        num = table[n - 1, here - n + 1]
+        here, num = here[num > 0], num[num > 0]
+        den = table[n - 2, here - n + 1] if n > 1 else base[here]
+        score[here] = np.log(num) - np.log(den) + (top[here] - n) * np.log(alpha)
+        used[here] = n
+        todo[here] = False
+    left = np.flatnonzero(todo)
+    score[left] = np.log(0.5) - np.log(np.maximum(base[left], 1)) + (top[left] - 1) * np.log(alpha)
+    n_docs = len(lengths)
+    return lengths, np.bincount(text, score, n_docs).astype(float), np.bincount(text, used == order, n_docs), np.bincount(text, used == 0, n_docs)
+
+
 def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, total: int, alpha: float, leave_one_out: bool) -> Iterator[pa.RecordBatch]:
     for got in runs(batches, "block"):
         parts, data = got.column("part").to_pylist(), got.column("data").to_pylist()
@@ -182,57 +241,23 @@ def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, tot
         docs = pa.ipc.open_stream(_unsqueeze.decompress(data[0])).read_all()
         corpus = {p: x for p, x in zip(parts[1:], data[1:])}
         del got, data
-        grams, index = gram_keys(docs.column(1), order, bucket_bits)
-        lengths = np.diff(index)
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        keys, dealt, bounds = _slices(grams, bucket_bits)
-        grams = [at for _, _, at in grams]
-        rank, counts = np.empty(len(keys), np.int32), np.empty(len(keys), np.int64)
-        done = 0
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            low, high = bounds[b], bounds[b + 1]
-            by = np.argsort(keys[low:high])
-            first = _starts(keys[low:high][by])
-            sizes = np.diff(np.append(first, high - low))
-            at = dealt[low:high][by]
-            rank[at] = np.repeat(np.arange(done, done + len(first), dtype=np.int32), sizes)
-            counts[at] = np.repeat(_unplanes(corpus[b], 6).astype(np.int64), sizes)
-            done += len(first)
-        del keys, dealt, corpus
-        words = len(text)
-        table = np.zeros((order, words), np.int64)  # by the position of the n-gram's first word
-        done = 0
-        for n, at in enumerate(grams):
-            here = slice(done, done + len(at))
-            table[n, at] = counts[here] - (_own_counts(rank[here], text[at]) if leave_one_out else 0)
-            done += len(at)
-        place = np.arange(words) - index[:-1][text]
-        base = total - lengths[text] * leave_one_out
-        score = np.zeros(words)
-        used = np.zeros(words, np.int64)
-        todo = np.ones(words, bool)
-        top = np.minimum(place + 1, order)
-        for n in range(order, 0, -1):
-            here = np.flatnonzero(todo & (top >= n))
-            num = table[n - 1, here - n + 1]
-            here, num = here[num > 0], num[num > 0]
-            den = table[n - 2, here - n + 1] if n > 1 else base[here]
-            score[here] = np.log(num) - np.log(den) + (top[here] - n) * np.log(alpha)
-            used[here] = n
-            todo[here] = False
-        left = np.flatnonzero(todo)
-        score[left] = np.log(0.5) - np.log(np.maximum(base[left], 1)) + (top[left] - 1) * np.log(alpha)
-        n_docs = len(lengths)
+        table_of, done = {}, 0
+        for b, ranked in _block_keys(docs, order, bucket_bits):
+            known = ranked[_starts(ranked)]
+            table_of[b] = done, known, _unplanes(corpus.pop(b), 6).astype(np.int64)
+            done += len(known)
+        found = [_score_part(texts, table_of, order, bucket_bits, total, alpha, leave_one_out) for texts in _parts(docs)]
+        lengths, score, full, unseen = (np.concatenate([f[i] for f in found]) for i in range(4))
         yield pa.RecordBatch.from_arrays([
             docs.column(0).combine_chunks(),
             pa.array(lengths.astype(np.int64)),
-            pa.array(np.bincount(text, score, n_docs).astype(float)),
-            pa.array(np.bincount(text, used == order, n_docs).astype(np.int64)),
-            pa.array(np.bincount(text, used == 0, n_docs).astype(np.int64)),
+            pa.array(score),
+            pa.array(full.astype(np.int64)),
+            pa.array(unseen.astype(np.int64)),
         ], names=["doc_id", "n_words", "log_score", "n_full", "n_unseen"])
 
 
-def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, leave_one_out: bool = True, block_bytes: int = 16 << 20, bucket_keys: int = 1 << 21) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, alpha: float = 0.4, leave_one_out: bool = True, block_bytes: int = 32 << 20, bucket_keys: int = 1 << 21) -> DataFrame:
     """(doc_id, n_words, log_score, n_full, n_unseen) of every row.
 
     n_full: words scored with their full context of order - 1 words; n_unseen: words that occur in no other document.
