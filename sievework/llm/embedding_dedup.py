@@ -275,7 +275,7 @@ def _tree(placed: DataFrame, label_type: str, cosine: float, cell_rows: int, sam
     return placed, pairs
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, chunk_rows: int = 4096, cell_rows: int = 8192, sample_rows: int = 16384, depth: int = 8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, chunk_rows: int = 8192, cell_rows: int = 8192, sample_rows: int = 16384, depth: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     ship(vectors.sparkSession)
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
