@@ -20,9 +20,18 @@ def count_against(rows: DataFrame, fixed: int, partners: list[int]) -> DataFrame
     return cells.groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v"), "w").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_against_vertical(blocks: DataFrame, fixed: int, partners: list[int]) -> DataFrame:
-    """The same from vertical blocks: the fixed column's blocks meet the partners' by block and position."""
+#: The fixed feature's column is broadcast up to so many rows (four bytes each); a longer one is joined by block in an exchange.
+BROADCAST_ROWS = 16_000_000
+
+
+def count_against_vertical(blocks: DataFrame, fixed: int, partners: list[int], rows: int | None = None) -> DataFrame:
+    """The same from vertical blocks: the fixed column's blocks meet the partners' by block and position.
+
+    rows: of the table, where known; decides whether the fixed column is broadcast to the partners' partitions.
+    """
     mine = blocks.where(F.col("feature") == fixed).select(F.col("block").alias("b"), F.col("vals").alias("fixed_vals"))
+    if rows is not None and rows <= BROADCAST_ROWS:
+        mine = F.broadcast(mine)
     theirs = blocks.where(F.col("feature").isin(partners))
     met = theirs.join(mine, F.col("block") == F.col("b")).select(F.col("feature").alias("i"), F.explode(F.arrays_zip("vals", "fixed_vals")).alias("x"))
     return met.groupBy("i", F.col("x.vals").alias("v"), F.col("x.fixed_vals").alias("w")).agg(F.count(F.lit(1)).alias("n"))

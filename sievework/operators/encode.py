@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,16 +56,30 @@ def categories(df: DataFrame, columns: list[str], max_categories: int = MAX_CATE
     return out
 
 
+def with_codes(df: DataFrame, columns: list[str], values: dict[str, list], keep: list[str] | None = None) -> DataFrame:
+    """The codes 0 .. k-1 of the columns, in the order of their values, as c0, c1, ...; the columns of keep before them.
+
+    One projection however many columns there are: each is looked up in a hash table of its own (bounded) list of values.
+    """
+    kept = [F.col(f"`{c}`") for c in keep or []]
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)], *[c.alias(f"k{i}") for i, c in enumerate(kept)])
+    lists = [values[c] for c in columns]
+    schema = ", ".join([f"c{i} int" for i in range(len(columns))] + [f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep or [])])
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [pa.array(x, pa.string()) for x in lists]
+        for batch in batches:
+            codes = [pc.index_in(c, value_set=x) for c, x in zip(batch.columns, sets)]
+            yield pa.RecordBatch.from_arrays([*codes, *batch.columns[len(sets) :]], names=batch.schema.names)
+
+    return text.mapInArrow(coded, schema)
+
+
 def encode(df: DataFrame, features: list[str], label: str, max_categories: int = MAX_CATEGORIES) -> Encoded:
-    """Dense codes 0 .. k-1 in the order of the values; each column is a broadcast join with its (bounded) list of values."""
-    values = categories(df, list(dict.fromkeys([*features, label])), max_categories)
-    spark = df.sparkSession
-    out = df.select(*[F.col(f"`{c}`").cast("string").alias(f"__{i}") for i, c in enumerate([*features, label])])
-    for i, c in enumerate([*features, label]):
-        table = spark.createDataFrame(list(zip(values[c], range(len(values[c])))), f"__v{i} string, __c{i} int")
-        out = out.join(F.broadcast(table), out[f"__{i}"] == table[f"__v{i}"])
-    names = [*features, "label"]
-    codes = out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+    """Dense codes 0 .. k-1 in the order of the values, all columns in one pass."""
+    columns = [*features, label]
+    values = categories(df, list(dict.fromkeys(columns)), max_categories)
+    codes = with_codes(df, columns, values).toDF(*features, "label")
     return Encoded(codes, list(features), {**{c: values[c] for c in features}, "label": values[label]})
 
 

@@ -6,6 +6,11 @@ block's column slice in record order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +49,31 @@ def vertical(rows: DataFrame, columns: list[str], partitions: int = 0) -> DataFr
     blocks = long.groupBy("feature", "block").agg(F.array_sort(F.collect_list(F.struct("rid", "v"))).alias("s"))
     sliced = blocks.select("feature", "block", F.transform("s", lambda x: x["v"]).alias("vals"))
     return sliced.repartitionByRange(partitions or len(columns), "feature", "block").sortWithinPartitions("feature", "block")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], columns: int, rows: int) -> Iterator[pa.RecordBatch]:
+    block, held, count = TaskContext.get().partitionId() << 32, [], 0
+
+    def cut(codes: np.ndarray) -> pa.RecordBatch:
+        flat = np.ascontiguousarray(codes.T).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(columns + 1) * len(codes), pa.int32()), pa.array(flat, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(range(columns), pa.int32()), pa.array([block] * columns, pa.int64()), lists], names=["feature", "block", "vals"])
+
+    for batch in batches:
+        held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns))
+        count += batch.num_rows
+        while count >= rows:
+            whole = np.concatenate(held)
+            yield cut(whole[:rows])
+            held, count, block = [whole[rows:]], count - rows, block + 1
+    if count:
+        yield cut(np.concatenate(held))
+
+
+def vertical_slices(rows: DataFrame, columns: int, partitions: int = 0, block_rows: int = 1 << 16) -> DataFrame:
+    """(feature, block, vals) from horizontal rows, each partition cut into blocks of block_rows where it lies; range-partitioned by feature.
+
+    What is exchanged are whole column slices. partitions = 0: one per column, label included.
+    """
+    cut = rows.select("a").mapInArrow(lambda it: _slices(it, columns, block_rows), "feature int, block long, vals array<int>")
+    return cut.repartitionByRange(partitions or columns, "feature", "block")

@@ -65,9 +65,13 @@ def uncertainty_of_cells(cells: Mapping[tuple[int, int], int], with_label: bool)
     for (a, b), n in cells.items():
         v[a] = v.get(a, 0) + n
         w[b] = w.get(b, 0) + n
-    h_v, h_w = entropy(v.values()), entropy(w.values())
-    both = h_v + h_w
-    su = 0.0 if both == 0 else 2 * (both - entropy(cells.values())) / both
+    return uncertainty(entropy(v.values()), entropy(w.values()), entropy(cells.values()), with_label)
+
+
+def uncertainty(h_one: float, h_two: float, h_joint: float, with_label: bool) -> float:
+    """Symmetric uncertainty from entropies, with the zero rule."""
+    both = h_one + h_two
+    su = 0.0 if both == 0 else 2 * (both - h_joint) / both
     if abs(su) < ZERO_WITHIN:
         return ZERO_WITH_LABEL if with_label else ZERO_BETWEEN_FEATURES
     return su

@@ -17,13 +17,14 @@ DIGITS = 12
 
 Cells = dict[tuple[int, int], int]
 CountSource = Callable[[int, list[int]], dict[int, Cells]]
+ValueSource = Callable[[int, list[int]], dict[int, float]]
 
 
 class Correlations:
-    """Symmetric cache of correlations, filled on request from contingency counts."""
+    """Symmetric cache of correlations, filled on request: from values that Spark has worked out, or from contingency counts."""
 
-    def __init__(self, label: int, counts: CountSource):
-        self.label, self.counts = label, counts
+    def __init__(self, label: int, counts: CountSource | None = None, values: ValueSource | None = None):
+        self.label, self.counts, self.values = label, counts, values
         self.su: dict[tuple[int, int], float] = {}
         self.requested = self.computed = self.rounds = 0
 
@@ -40,8 +41,12 @@ class Correlations:
             return
         self.rounds += 1
         self.computed += len(missing)
-        for p, cells in self.counts(fixed, missing).items():
-            self.su[min(p, fixed), max(p, fixed)] = uncertainty_of_cells(cells, self.label in (p, fixed))
+        if self.values:
+            found = self.values(fixed, missing)
+        else:
+            found = {p: uncertainty_of_cells(cells, self.label in (p, fixed)) for p, cells in self.counts(fixed, missing).items()}
+        for p, su in found.items():
+            self.su[min(p, fixed), max(p, fixed)] = su
 
     def __getitem__(self, pair: tuple[int, int]) -> float:
         return self.su[min(pair), max(pair)]

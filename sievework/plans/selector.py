@@ -8,27 +8,27 @@ from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasOutputCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasLabelCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.operators import layout
+from sievework.operators import layout, measures
 from sievework.operators.contingency import count_against, count_against_vertical, count_pairs
 from sievework.operators.encode import MAX_CATEGORIES, informative
-from sievework.plans.search import Cells, Correlations, Found, add_locally_predictive, best_first
+from sievework.plans.search import Correlations, Found, add_locally_predictive, best_first
 
 #: With up to so many cells over all pairs, all of them are counted in one pass.
 MATRIX_CELLS = 4_000_000
 COMPILED_COLUMNS = 64
 
 
-class _SelectorParams(HasFeaturesCol, HasLabelCol, HasOutputCol):
+class _SelectorParams(HasFeaturesCol, HasInputCols, HasLabelCol, HasOutputCol):
     locallyPredictive = Param(Params._dummy(), "locallyPredictive", "add locally predictive features after the search", TypeConverters.toBoolean)
     searchTermination = Param(Params._dummy(), "searchTermination", "expansions in a row without improvement before the search ends, and the queue's capacity (>= 1)", TypeConverters.toInt)
     verticalPartitioning = Param(Params._dummy(), "verticalPartitioning", "count from a column-wise layout instead of rows", TypeConverters.toBoolean)
@@ -81,6 +81,15 @@ def _features(schema: T.StructType, name: str) -> list[dict]:
     return flat
 
 
+def _plain(schema: T.StructType, names: list[str]) -> list[dict]:
+    """The attributes that plain columns declare, empty where there are none."""
+    for c in names:
+        if c not in schema.names or not isinstance(schema[c].dataType, T.NumericType):
+            raise ValueError(f"column {c!r} must be numeric codes")
+    found = [schema[c].metadata.get("ml_attr", {}) for c in names]
+    return [a | {"idx": i, "name": c} if a else {} for i, (a, c) in enumerate(zip(found, names))]
+
+
 def _cardinality(attr: dict, what: str, most: int) -> int:
     kind = attr.get("kind", attr.get("type"))
     if kind not in ("nominal", "binary"):
@@ -116,11 +125,13 @@ class FitReport:
 class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadable, DefaultParamsWritable):
     """Choose the features whose subset has the highest correlation-based merit for a nominal label.
 
-    The input has a vector column of category codes with nominal metadata, and a label column likewise.
+    The input has a vector column of category codes with nominal metadata, and a label column likewise. Or the features are
+    plain columns of codes, named by inputCols: one without metadata, and then the label too, has as many values as its
+    largest code tells.
     """
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", outputCol=None, locallyPredictive=True, searchTermination=5, verticalPartitioning=True, nPartitions=0, maxCategories=MAX_CATEGORIES, countPlan="auto"):
+    def __init__(self, *, featuresCol="features", inputCols=None, labelCol="label", outputCol=None, locallyPredictive=True, searchTermination=5, verticalPartitioning=True, nPartitions=0, maxCategories=MAX_CATEGORIES, countPlan="auto"):
         super().__init__()
         self._setDefault(outputCol=f"{self.uid}__output")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -128,6 +139,9 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
     def setLabelCol(self, value: str):
         return self._set(labelCol=value)
 
+    def setInputCols(self, value: list[str]):
+        return self._set(inputCols=value)
+
     def setLocallyPredictive(self, value: bool):
         return self._set(locallyPredictive=value)
 
@@ -158,23 +172,41 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
             raise ValueError("nPartitions can't be negative")
         if self.getCountPlan() not in ("auto", "layout", "matrix"):
             raise ValueError("countPlan is one of auto, layout, matrix")
-        attrs, most = _features(schema, self.getFeaturesCol()), self.getMaxCategories()
+        plain = self.isDefined(self.inputCols)
+        attrs, most = _plain(schema, self.getInputCols()) if plain else _features(schema, self.getFeaturesCol()), self.getMaxCategories()
         label = self.getLabelCol()
         if label not in schema.names:
             raise ValueError(f"no column {label!r}")
         if not isinstance(schema[label].dataType, T.NumericType):
             raise ValueError(f"column {label!r} must be numeric")
-        sizes = [_cardinality(a, f"feature {a.get('name', a['idx'])!r}", most) for a in attrs]
-        return sizes, _cardinality(schema[label].metadata.get("ml_attr", {}), f"label {label!r}", most)
+        sizes = [_cardinality(a, f"feature {a.get('name', a['idx'])!r}", most) if a else None for a in attrs]
+        of_label = schema[label].metadata.get("ml_attr", {})
+        return sizes, None if plain and not of_label else _cardinality(of_label, f"label {label!r}", most)
+
+    def _counted(self, dataset: DataFrame, columns: list[str], sizes: list[int | None]) -> list[int]:
+        """The sizes, those not declared from the largest code of the column, all in one pass."""
+        lacking = [c for c, n in zip(columns, sizes) if n is None]
+        if not lacking:
+            return sizes
+        largest = dataset.agg(*[F.max(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(lacking)]).first()
+        found = {}
+        for c, code in zip(lacking, largest):
+            found[c] = 1 if code is None or code != code else int(code) + 1
+            if found[c] > self.getMaxCategories():
+                raise ValueError(f"column {c!r} has codes up to {code}; at most {self.getMaxCategories()} values are allowed")
+        return [found[c] if n is None else n for c, n in zip(columns, sizes)]
 
     def _fit(self, dataset: DataFrame) -> "CorrelationFeatureSelectorModel":
         _with_output(dataset.schema, self.getOutputCol())
         sizes, label_size = self._check(dataset.schema)
+        plain = self.getInputCols() if self.isDefined(self.inputCols) else None
+        if plain:
+            *sizes, label_size = self._counted(dataset, [*plain, self.getLabelCol()], [*sizes, label_size])
         kept = informative(sizes)
         if not kept:
             raise ValueError("no feature has more than one value")
         limits = [*[sizes[i] for i in kept], label_size]
-        vector = vector_to_array(F.col(self.getFeaturesCol()))
+        vector = F.array(*[F.col(f"`{c}`").cast("double") for c in plain]) if plain else vector_to_array(F.col(self.getFeaturesCol()))
         raw = dataset.select(vector.alias("v"), F.col(self.getLabelCol()).cast("double").alias("y"))
         raw = raw.select(F.array(*[F.col("v")[i] for i in kept], F.col("y")).alias("d"))
         # one comparison for each column is compiled; beyond some hundred columns a loop over the array is better
@@ -194,7 +226,7 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
             if bad:
                 raise ValueError(f"{bad} rows hold nulls or codes outside the declared values")
             label = len(kept)
-            correlations = Correlations(label, self._count_source(rows.select("a"), limits, n))
+            correlations = Correlations(label, values=self._value_source(rows.select("a"), limits, n))
             found = best_first(label, correlations, self.getSearchTermination())
             requested = correlations.requested
             subset = found.subset
@@ -212,38 +244,36 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
         model.report = FitReport(n, found, selected, kept, [i for i in range(len(sizes)) if i not in kept], [kept[i] for i in subset[len(found.subset) :]], requested, correlations.computed, correlations.rounds)
         return model
 
-    def _count_source(self, rows: DataFrame, limits: list[int], n: int):
+    def _value_source(self, rows: DataFrame, limits: list[int], n: int):
+        """Correlations on request. Entropies are summed up in Spark: one number for each column and each pair comes back."""
         p = len(limits) - 1
         every = [(i, j) for i in range(p + 1) for j in range(i + 1, p + 1)]
+        h = {r["i"]: r["h"] for r in measures.feature_entropies(rows, p + 1).collect()}  # a row per column
         plan = self.getCountPlan()
         if plan == "auto":
             plan = "matrix" if sum(limits[i] * limits[j] for i, j in every) <= MATRIX_CELLS else "layout"
+        value = lambda i, j, joint: measures.uncertainty(h[i], h[j], joint, p in (i, j))
         if plan == "matrix":
-            known: dict[tuple[int, int], Cells] = {}
+            known: dict[tuple[int, int], float] = {}
 
-            def from_matrix(fixed: int, partners: list[int]) -> dict[int, Cells]:
+            def from_matrix(fixed: int, partners: list[int]) -> dict[int, float]:
                 if not known:
                     columns = rows.select(*[F.col("a")[k].alias(f"c{k}") for k in range(p + 1)])
-                    for i, j, v, w, count in count_pairs(columns, columns.columns, limits, every).collect():  # cells, bounded by MATRIX_CELLS
-                        known.setdefault((i, j), {})[v, w] = count
+                    cells = count_pairs(columns, columns.columns, limits, every)
+                    known.update({(i, j): value(i, j, joint) for i, j, joint in measures.joint_entropies(cells, ["i", "j"]).collect()})
                 return {q: known[min(q, fixed), max(q, fixed)] for q in partners}
 
             return from_matrix
         if self.getVerticalPartitioning():
-            names = [f"c{k}" for k in range(p + 1)]
-            numbered = rows.select(F.monotonically_increasing_id().alias("rid"), *[F.col("a")[k].alias(c) for k, c in enumerate(names)])
-            blocks = numbered.withColumn("block", F.shiftright("rid", 16))  # 65,536 rows of one partition
-            held = layout.vertical(blocks, names, self.getNPartitions()).persist()
+            held = layout.vertical_slices(rows, p + 1, self.getNPartitions()).persist()
             self._held = [held]
-            counting = lambda fixed, partners: count_against_vertical(held, fixed, partners)
+            counting = lambda fixed, partners: count_against_vertical(held, fixed, partners, n)
         else:
             counting = lambda fixed, partners: count_against(rows, fixed, partners)
 
-        def from_layout(fixed: int, partners: list[int]) -> dict[int, Cells]:
-            out: dict[int, Cells] = {q: {} for q in partners}
-            for i, v, w, count in counting(fixed, partners).collect():
-                out[i][v, w] = count
-            return out
+        def from_layout(fixed: int, partners: list[int]) -> dict[int, float]:
+            joints = measures.joint_entropies(counting(fixed, partners), ["i"]).collect()
+            return {i: value(i, fixed, joint) for i, joint in joints}
 
         return from_layout
 
@@ -268,7 +298,9 @@ class CorrelationFeatureSelectorModel(Model, _SelectorParams, MLReadable, MLWrit
         self.parent = parent
 
     def transformSchema(self, schema: T.StructType) -> T.StructType:
-        if self.getFeaturesCol() not in schema.names or not isinstance(schema[self.getFeaturesCol()].dataType, VectorUDT):
+        if self.isDefined(self.inputCols):
+            _plain(schema, self.getInputCols())
+        elif self.getFeaturesCol() not in schema.names or not isinstance(schema[self.getFeaturesCol()].dataType, VectorUDT):
             raise ValueError(f"column {self.getFeaturesCol()!r} must hold vectors")
         return _with_output(schema, self.getOutputCol())
 
@@ -276,6 +308,8 @@ class CorrelationFeatureSelectorModel(Model, _SelectorParams, MLReadable, MLWrit
         if not self.selected:
             raise ValueError("no feature was selected, so there is nothing to keep")
         self.transformSchema(dataset.schema)
+        if self.isDefined(self.inputCols):
+            return VectorAssembler(inputCols=[self.getInputCols()[i] for i in self.selected], outputCol=self.getOutputCol()).transform(dataset)
         return VectorSlicer(inputCol=self.getFeaturesCol(), outputCol=self.getOutputCol(), indices=self.selected).transform(dataset)
 
     def copy(self, extra=None) -> "CorrelationFeatureSelectorModel":

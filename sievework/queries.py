@@ -6,6 +6,7 @@ band) and `region` (orders and the customer's region).
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import layout, measures
 from sievework.operators.contingency import count_against, count_against_vertical, count_pairs
-from sievework.operators.encode import Encoded, assemble, encode, informative
+from sievework.operators.encode import Encoded, assemble, categories, encode, informative, with_codes
 from sievework.plans.search import top_states
 from sievework.plans.selector import CorrelationFeatureSelector, CorrelationFeatureSelectorModel
 from sievework.sources import read_any, sample_rows
@@ -46,7 +47,11 @@ FIXTURES = {
                from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey""",
     ),
 }
-_TABLES = {"docs": ["documents", "labels"], "price": ["lineitem"], "region": ["orders", "customer", "nation"]}
+# with a constant before the others, so that features are dropped and indices move; region keys crossed: two exactly independent columns
+FIXTURES["constant"] = (["one", *DOCS], f"select 'same' one, * from ({FIXTURES['docs'][1]}) r", f"select 'same' one, * from ({FIXTURES['docs'][2]}) r")
+_CROSSED = "select a.r_regionkey a, b.r_regionkey b, a.r_regionkey y from region a cross join region b"
+FIXTURES["crossed"] = (["a", "b"], _CROSSED, _CROSSED)
+_TABLES = {"docs": ["documents", "labels"], "price": ["lineitem"], "region": ["orders", "customer", "nation"], "constant": ["documents", "labels"], "crossed": ["region"]}
 PATIENCE = 5
 
 
@@ -55,9 +60,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name][1]
     frames = {t: read_any(spark, f"{sf_dir}/{t}.parquet") for t in _TABLES[name]}
     for t in frames:
-        sql = sql.replace(f"from {t} ", f"from {{{t}}} {t} ").replace(f"join {t} ", f"join {{{t}}} {t} ")
-        sql = sql + " " if sql.endswith(f"from {t}") else sql
-        sql = sql.replace(f"from {t} ", f"from {{{t}}} {t} ")
+        sql = re.sub(rf"\b(from|join) {t}(?: ([ab])\b(?! *=))?", lambda m, t=t: f"{m[1]} {{{t}}} {m[2] or t}", sql)
     return spark.sql(sql, **frames)
 
 
@@ -148,14 +151,10 @@ chosen as (select sel from pick order by pos desc limit 1)"""
 
 
 def nominal_encode(spark, sf_dir):
-    raw = fixture(spark, sf_dir, "docs").withColumn("key", F.col("doc_id"))
-    e = encode(raw, DOCS, "y")
-    out = raw.select("doc_id", *DOCS, "y")
-    for c in [*DOCS, "y"]:
-        values = e.values["label" if c == "y" else c]
-        table = spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"v string, {c}_code int")
-        out = out.join(F.broadcast(table), out[c].cast("string") == table["v"]).drop("v")
-    return out.select("doc_id", *[f"{c}_code" for c in [*DOCS, "y"]])
+    raw = fixture(spark, sf_dir, "docs")
+    columns = [*DOCS, "y"]
+    coded = with_codes(raw, columns, categories(raw, columns), keep=["doc_id"])
+    return coded.select(F.col("k0").alias("doc_id"), *[F.col(f"c{i}").alias(f"{c}_code") for i, c in enumerate(columns)])
 
 
 NOMINAL_SQL = f"with {_codes_sql('docs', 'doc_id')} select doc_id, " + ", ".join(f"f{i}::int as {c}_code" for i, c in enumerate([*DOCS, "y"])) + " from codes"
@@ -165,13 +164,26 @@ def sample_fraction(spark, sf_dir):
     return sample_rows(read_any(spark, f"{sf_dir}/documents.parquet").select("doc_id"), 0.5, seed=7)
 
 
+def sample_bounds(spark, sf_dir):
+    """What holds of every sample of a half: its size within five standard deviations, no row twice, none from elsewhere."""
+    docs = read_any(spark, f"{sf_dir}/documents.parquet").select("doc_id")
+    taken = sample_rows(docs, 0.5, seed=7)
+    n, ids = docs.agg(F.count(F.lit(1)).alias("n_rows")), taken.agg(F.count(F.lit(1)).alias("k"), F.count_distinct("doc_id").alias("d"))
+    strange = taken.join(docs.distinct(), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("strange"))
+    whole = n.join(ids).join(strange)  # one row each
+    return whole.select("n_rows", (F.abs(F.col("k") - F.col("n_rows") / 2) <= 2.5 * F.sqrt("n_rows")).alias("within"), (F.col("k") == F.col("d")).alias("once"), "strange")
+
+
+SAMPLE_SQL = "select count(*) as n_rows, true as within, count(*) = count(distinct doc_id) as once, 0::bigint as strange from documents"
+
+
 def informative_filter(spark, sf_dir):
-    e = encoded(spark, sf_dir, "docs")
+    e = encoded(spark, sf_dir, "constant")
     sizes = e.cardinalities[:-1]
     return spark.createDataFrame([(i, e.features[i], sizes[i]) for i in informative(sizes)], "feature int, name string, cardinality int")
 
 
-INFORMATIVE_SQL = f"with {_codes_sql('docs')} select feature::int as feature, name, k::int as cardinality from (" + " union all ".join(f"select {i} as feature, '{c}' as name, count(distinct f{i}) as k from codes" for i, c in enumerate(DOCS)) + ") where k > 1"
+INFORMATIVE_SQL = f"with {_codes_sql('constant')} select feature::int as feature, name, k::int as cardinality from (" + " union all ".join(f"select {i} as feature, '{c}' as name, count(distinct f{i}) as k from codes" for i, c in enumerate(["one", *DOCS])) + ") where k > 1"
 
 
 def contingency_class(spark, sf_dir):
@@ -267,29 +279,20 @@ def su_matrix(spark, sf_dir):
     return _su(spark, sf_dir, "price").select("i", "j", _r("su"))
 
 
-def _crossed(spark, sf_dir):
-    """Region keys crossed with themselves: two columns that are exactly independent."""
-    r = read_any(spark, f"{sf_dir}/region.parquet")
-    return r.select(F.col("r_regionkey").alias("a")).crossJoin(r.select(F.col("r_regionkey").alias("b"))).withColumn("y", F.col("a"))
-
-
 def su_zero_rule(spark, sf_dir):
-    e = encode(_crossed(spark, sf_dir), ["a", "b"], "y")
+    e = encoded(spark, sf_dir, "crossed")
     cells = count_pairs(e.codes, ["a", "b", "label"], e.cardinalities, [(0, 1), (0, 2), (1, 2)])
     return measures.correlations(cells, measures.feature_entropies(rows_of(e), 3), 2).select("i", "j", _r("su"))
 
 
-SU_ZERO_SQL = "with r as (select r_regionkey as k from region) select 0 as i, 1 as j, 1.0::double as su union all select 0, 2, 1.0 union all select 1, 2, 0.0"
-
-
 def known_pairs_anti(spark, sf_dir):
-    p = len(DOCS)
-    wanted = spark.range(p).select(F.col("id").cast("int").alias("i"), F.lit(5).alias("j")).where("i <> j")
-    known = spark.createDataFrame([(5, 1), (2, 5), (5, 7)], "i int, j int")
-    return measures.unknown_pairs(wanted, known)
+    """Pairs of a nation and its region's number, as wanted; those with an even sum are known, the other way round."""
+    nation = read_any(spark, f"{sf_dir}/nation.parquet")
+    wanted = nation.select(F.col("n_nationkey").cast("int").alias("i"), F.col("n_regionkey").cast("int").alias("j"))
+    return measures.unknown_pairs(wanted, wanted.where("(i + j) % 2 = 0").select(F.col("j").alias("i"), F.col("i").alias("j")))
 
 
-KNOWN_SQL = "select least(i, 5)::int as i, greatest(i, 5)::int as j from range(0, 8) t(i) where i not in (5, 1, 2, 7)"
+KNOWN_SQL = "select distinct least(n_nationkey, n_regionkey)::int as i, greatest(n_nationkey, n_regionkey)::int as j from nation where (n_nationkey + n_regionkey) % 2 <> 0"
 _SUBSETS = [[1], [5], [4, 1], [5, 4, 1], [0, 1, 2, 3, 4, 5, 6, 7]]
 
 
@@ -333,7 +336,7 @@ select row_number() over (order by merit desc, arrival)::int as place, array_to_
 
 def _fitted(spark, sf_dir, name: str, **options) -> tuple[Encoded, CorrelationFeatureSelectorModel]:
     e = encoded(spark, sf_dir, name)
-    return e, CorrelationFeatureSelector(searchTermination=PATIENCE, **options).fit(assemble(e))
+    return e, CorrelationFeatureSelector(**{"searchTermination": PATIENCE, **options}).fit(assemble(e))
 
 
 def best_first_trace(spark, sf_dir):
@@ -353,6 +356,11 @@ def best_subset(spark, sf_dir):
 BEST_SQL = f"with recursive {_trace_sql('docs')} select array_to_string(best, ',') as subset, round(bm, 9) + 0.0 as merit from trace order by it desc limit 1"
 
 
+def _moved_sql() -> str:
+    """The choice among the docs features, one place further on: the constant is none."""
+    return f"with recursive {_final_sql('docs')} select ix::int as place, (f + 1)::int as feature from (select unnest(sel) as f, generate_subscripts(sel, 1) as ix from chosen)"
+
+
 def _order(spark, features: list[int]) -> DataFrame:
     return spark.createDataFrame([(k, f) for k, f in enumerate(features, 1)], "place int, feature int")
 
@@ -365,17 +373,31 @@ def locally_predictive(spark, sf_dir):
 LOCAL_SQL = f"with recursive {_final_sql('docs')} select row_number() over (order by ix)::int as place, f::int as feature from (select unnest(sel) as f, generate_subscripts(sel, 1) as ix from chosen) where ix > (select len(best) from last)"
 
 
-def selected_features(name: str) -> Callable:
+def selected_features(name: str, **options) -> Callable:
     """The flagship: fit on a fixture, the selected features in order."""
 
     def query(spark, sf_dir):
-        return _order(spark, _fitted(spark, sf_dir, name)[1].selected)
+        return _order(spark, _fitted(spark, sf_dir, name, **options)[1].selected)
 
     return query
 
 
-def _selected_sql(name: str) -> str:
-    return f"with recursive {_final_sql(name)} select ix::int as place, f::int as feature from (select unnest(sel) as f, generate_subscripts(sel, 1) as ix from chosen)"
+def selected_plain(spark, sf_dir):
+    """The fit on plain columns of codes without metadata: sizes come from the largest codes."""
+    e = encoded(spark, sf_dir, "docs")
+    model = CorrelationFeatureSelector(searchTermination=PATIENCE, inputCols=e.features).fit(e.codes)
+    return _order(spark, model.selected)
+
+
+def estimator_roundtrip(spark, sf_dir):
+    """Save and load the estimator, then fit what was loaded."""
+    path = f"{_folder(spark)}/selector-estimator"
+    CorrelationFeatureSelector(searchTermination=PATIENCE, countPlan="layout", nPartitions=3).write().overwrite().save(path)
+    return _order(spark, CorrelationFeatureSelector.load(path).fit(assemble(encoded(spark, sf_dir, "docs"))).selected)
+
+
+def _selected_sql(name: str, patience: int = PATIENCE) -> str:
+    return f"with recursive {_final_sql(name, patience)} select ix::int as place, f::int as feature from (select unnest(sel) as f, generate_subscripts(sel, 1) as ix from chosen)"
 
 
 def slice_features(spark, sf_dir):
@@ -390,9 +412,17 @@ def slice_features(spark, sf_dir):
 SLICE_SQL = f"with recursive {_final_sql('docs')}, r as (select [{', '.join(f'f{i}' for i in range(len(DOCS)))}] as v from codes) select array_to_string(list_transform(sel, lambda i: v[i + 1]), ',') as codes, count(*) as n from r, chosen group by all"
 
 
+def _folder(spark) -> str:
+    """The shared folder of the cluster; a folder of this machine on a local master only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return top or tempfile.mkdtemp(prefix="sievework-model-")
+
+
 def model_roundtrip(spark, sf_dir):
     _, model = _fitted(spark, sf_dir, "docs")
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='sievework-model-')}/selector-model"
+    path = f"{_folder(spark)}/selector-model"
     model.write().overwrite().save(path)
     return _order(spark, CorrelationFeatureSelectorModel.load(path).selected)
 
@@ -411,6 +441,7 @@ _P = len(DOCS)
 _REGISTERED: dict[str, tuple[Callable, str | None]] = {
     "nominal_encode": (nominal_encode, NOMINAL_SQL),
     "sample_fraction": (sample_fraction, None),
+    "sample_bounds": (sample_bounds, SAMPLE_SQL),
     "informative_filter": (informative_filter, INFORMATIVE_SQL),
     "contingency_class": (contingency_class, CLASS_CELLS_SQL),
     "contingency_vertical": (contingency_vertical, CLASS_CELLS_SQL),
@@ -424,7 +455,7 @@ _REGISTERED: dict[str, tuple[Callable, str | None]] = {
     "su_class_ranked": (su_class_ranked("docs"), _ranked_sql("docs")),
     "su_class_ranked_region": (su_class_ranked("region"), _ranked_sql("region")),
     "su_matrix": (su_matrix, f"with {_su_sql('price')} select i, j, round(su, 9) + 0.0 as su from su"),
-    "su_zero_rule": (su_zero_rule, SU_ZERO_SQL),
+    "su_zero_rule": (su_zero_rule, f"with {_su_sql('crossed')} select i, j, round(su, 9) + 0.0 as su from su"),
     "known_pairs_anti": (known_pairs_anti, KNOWN_SQL),
     "subset_pairs": (subset_pairs, SUBSET_PAIRS_SQL),
     "subset_merit": (subset_merit, SUBSET_MERIT_SQL),
@@ -435,6 +466,13 @@ _REGISTERED: dict[str, tuple[Callable, str | None]] = {
     "selected_features": (selected_features("docs"), _selected_sql("docs")),
     "selected_features_price": (selected_features("price"), _selected_sql("price")),
     "selected_features_region": (selected_features("region"), _selected_sql("region")),
+    "selected_features_horizontal": (selected_features("docs", countPlan="layout", verticalPartitioning=False), _selected_sql("docs")),
+    "selected_features_vertical": (selected_features("docs", countPlan="layout"), _selected_sql("docs")),
+    "selected_features_partitions": (selected_features("region", countPlan="layout", nPartitions=2), _selected_sql("region")),
+    "selected_features_patience_1": (selected_features("docs", searchTermination=1), _selected_sql("docs", 1)),
+    "selected_features_constant": (selected_features("constant"), _moved_sql()),
+    "selected_features_plain": (selected_plain, _selected_sql("docs")),
+    "estimator_roundtrip": (estimator_roundtrip, _selected_sql("docs")),
     "slice_features": (slice_features, SLICE_SQL),
     "model_roundtrip": (model_roundtrip, _selected_sql("docs")),
     "fit_report": (fit_report, REPORT_SQL),
