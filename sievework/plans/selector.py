@@ -208,7 +208,12 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
         limits = [*[sizes[i] for i in kept], label_size]
         vector = F.array(*[F.col(f"`{c}`").cast("double") for c in plain]) if plain else vector_to_array(F.col(self.getFeaturesCol()))
         raw = dataset.select(vector.alias("v"), F.col(self.getLabelCol()).cast("double").alias("y"))
-        raw = raw.select(F.array(*[F.col("v")[i] for i in kept], F.col("y")).alias("d"))
+        if len(kept) == len(sizes):
+            raw = raw.select(F.expr("concat(v, array(y))").alias("d"))
+        elif len(kept) < COMPILED_COLUMNS:
+            raw = raw.select(F.array(*[F.col("v")[i] for i in kept], F.col("y")).alias("d"))
+        else:
+            raw = raw.select(F.expr(f"concat(transform(array({', '.join(map(str, kept))}), i -> v[i]), array(y))").alias("d"))
         # one comparison for each column is compiled; beyond some hundred columns a loop over the array is better
         bad = lambda x, k: x.isNull() | F.isnan(x) | (x < 0) | (x >= k) | (x != F.floor(x))
         if len(limits) <= COMPILED_COLUMNS:
@@ -267,9 +272,9 @@ class CorrelationFeatureSelector(Estimator, _SelectorParams, DefaultParamsReadab
         if self.getVerticalPartitioning():
             held = layout.vertical_slices(rows, p + 1, self.getNPartitions()).persist()
             self._held = [held]
-            counting = lambda fixed, partners: count_against_vertical(held, fixed, partners, n)
+            counting = lambda fixed, partners: count_against_vertical(held, fixed, partners, n, limits)
         else:
-            counting = lambda fixed, partners: count_against(rows, fixed, partners)
+            counting = lambda fixed, partners: count_against(rows, fixed, partners, limits)
 
         def from_layout(fixed: int, partners: list[int]) -> dict[int, float]:
             joints = measures.joint_entropies(counting(fixed, partners), ["i"]).collect()

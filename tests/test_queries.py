@@ -29,3 +29,19 @@ def test_entry_imports_and_runs(spark):
 def test_sampling(spark):
     df = core.sample_fraction(spark, SF)
     assert 300 < df.count() < 700
+
+
+def test_without_the_optional_modules(monkeypatch):
+    """Whatever keeps the llm subpackage from being imported, the core queries stay."""
+    import importlib
+
+    import __spark_entry__
+
+    def missing(name, real=importlib.import_module):
+        if name.startswith("sievework.llm"):
+            raise ModuleNotFoundError(f"No module named {name!r}", name="something_it_needs")
+        return real(name)
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", missing)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(__spark_entry__.queries()) == set(core.queries())

@@ -8,6 +8,8 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 
+from sievework.operators import layout
+from sievework.operators.contingency import count_against, count_against_vertical
 from sievework.operators.encode import assemble, encode, feature_metadata, label_metadata
 from sievework.plans.cli import main
 from sievework.plans.selector import CorrelationFeatureSelector, CorrelationFeatureSelectorModel
@@ -47,6 +49,56 @@ def test_random_tables(spark, seed):
         assert tuple(model.selected) == expected
 
 
+def test_a_wide_table(spark):
+    """Some 600 features in one encoding pass; every plan finds the two that tell something."""
+    rng = random.Random(5)
+    names = [f"f{i}" for i in range(631)]
+    rows = []
+    for _ in range(150):
+        y = rng.randint(0, 1)
+        rows.append((*[y if i in (17, 400) and rng.random() < 0.9 else rng.randint(0, 1) for i in range(631)], y))
+    encoded = encode(frame(spark, rows, names), names, "y")
+    ready = assemble(encoded).cache()
+    found = [CorrelationFeatureSelector(searchTermination=1, locallyPredictive=False, **o).fit(ready).selected for o in ({"countPlan": "layout", "verticalPartitioning": False}, {"countPlan": "layout", "nPartitions": 8})]
+    assert found[0] == found[1] and {17, 400} <= set(found[0])
+    ready.unpersist()
+
+
+def test_vertical_slices(spark):
+    rows = spark.createDataFrame([([k % 5, k % 3, k % 2],) for k in range(1000)], "a array<int>").repartition(3)
+    got = layout.vertical_slices(rows, 3, 2, block_rows=100).collect()
+    whole = {}
+    for r in got:
+        assert len(r["vals"]) <= 100
+        whole.setdefault(r["block"], {})[r["feature"]] = r["vals"]
+    back = sorted(t for b in whole.values() for t in zip(b[0], b[1], b[2]))
+    assert back == sorted((k % 5, k % 3, k % 2) for k in range(1000))
+
+
+@pytest.mark.parametrize("rows", [None, 10**9, 1000])
+def test_vertical_counts_with_and_without_a_broadcast(spark, rows):
+    table = spark.createDataFrame([([k % 5, k % 3, k % 2],) for k in range(1000)], "a array<int>").repartition(3)
+    blocks = layout.vertical_slices(table, 3, 0, block_rows=64)
+    want = sorted(map(tuple, count_against(table, 2, [0, 1]).collect()))
+    for sizes in (None, [5, 3, 2], [5, 5000, 2]):
+        assert sorted(map(tuple, count_against_vertical(blocks, 2, [0, 1], rows, sizes).collect())) == want
+        assert sorted(map(tuple, count_against(table, 2, [0, 1], sizes).collect())) == want
+
+
+def test_plain_columns_without_metadata(spark):
+    rows = [("shor".index(o), t, h, w, y) for o, t, h, w, y in [(r[0], "hmc".index(r[1]), float("hn".index(r[2])), "ft".index(r[3]), "ny".index(r[4])) for r in WEATHER]]
+    df = spark.createDataFrame(rows, "`o.o` int, t long, h double, w int, label int")
+    selector = CorrelationFeatureSelector(inputCols=["o.o", "t", "h", "w"], outputCol="out")
+    with pytest.raises(ValueError, match="numeric codes"):
+        selector.fit(df.withColumn("t", df.t.cast("string")))
+    with pytest.raises(ValueError, match="at most 3"):
+        CorrelationFeatureSelector(inputCols=["o.o"], maxCategories=3).fit(df)
+    plain = df.withColumnRenamed("o.o", "o")
+    model = CorrelationFeatureSelector(inputCols=["o", "t", "h", "w"], outputCol="out").fit(plain)
+    assert selector.fit(df).selected == model.selected == [0, 2]
+    assert sorted(map(list, (r[0] for r in model.transform(plain).select(vector_to_array("out")).collect()))) == sorted([float(r[0]), float(r[2])] for r in rows)
+
+
 def test_single_valued_features_are_left_out(spark):
     rows = [(0, 0, 1, 1), (0, 1, 0, 0), (0, 0, 1, 1), (0, 1, 1, 0)]
     model = CorrelationFeatureSelector().fit(vectors(spark, rows, [1, 2, 2], 2))
