@@ -52,6 +52,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)  # without what Spark says of nulls
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         digest = rows.column("digest").cast(pa.binary(32))
         digest = np.frombuffer(digest.buffers()[1], "<u8")[digest.offset * 4 : (digest.offset + len(digest)) * 4].reshape(-1, 4)

@@ -37,6 +37,18 @@ def test_against_brute_force(spark):
         assert all(r["id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_many_batches(spark):
+    """Runs of equal texts that go on over batches, at every level."""
+    rows = [(k, f"text {k % 5}" + " " * (k % 3)) for k in range(200)] + odd_rows()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = exact_duplicates(docs(spark, rows, 6), fan_in=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, [(r["id"], r["keep_id"], r["group_size"], r["digest"]) for r in got])) == sorted(map(str, expected(rows)))
+    assert sum(r["kept"] for r in got) == len({norm(t) for _, t in rows})
+
+
 def test_dropping_keeps_one_row_of_each_text(spark):
     rows = odd_rows()
     df = docs(spark, rows)
