@@ -100,43 +100,66 @@ def _best(value: np.ndarray, many: int, least: float) -> np.ndarray:
     return best[value[best] > least]
 
 
-def interacting(present: np.ndarray, label: np.ndarray, many: int) -> np.ndarray:
-    """Columns of a 0/1 matrix that are in one of the `many` pairs with the strongest interaction on the label, if it is far beyond chance.
+def interacting(blocks: Iterator[tuple[np.ndarray, np.ndarray]], columns: int, many: int) -> np.ndarray:
+    """Columns that are in one of the `many` pairs with the strongest interaction on the label, if it is far beyond chance.
 
-    The contrast of a pair is the label's share with both, less that with either alone, plus that with neither, over
-    its standard error; all four cells must have rows enough.
+    blocks: 0/1 rows and their labels.  The contrast of a pair is the label's share with both, less that with either alone,
+    plus that with neither, over its standard error; all four cells must have rows enough.
     """
-    n, share = len(label), float(label.mean())
-    both, both_label = present.T @ present, (present * label[:, None]).T @ present
-    one, one_label = np.diag(both).copy(), np.diag(both_label).copy()
-    cells = [(both, both_label), (one[:, None] - both, one_label[:, None] - both_label), (one[None, :] - both, one_label[None, :] - both_label)]
-    cells.append((n - one[:, None] - one[None, :] + both, label.sum() - one_label[:, None] - one_label[None, :] + both_label))
-    contrast, variance = np.zeros(both.shape), np.zeros(both.shape)
+    both, both_label = np.zeros((columns, columns), np.float32), np.zeros((columns, columns), np.float32)
+    n = positive = 0.0
+    for present, label in blocks:
+        both += present.T @ present
+        both_label += present.T @ (present * label[:, None])
+        n, positive = n + len(label), positive + float(label.sum())
+    one, hits = np.diag(both).copy(), np.diag(both_label).copy()
+    share = positive / n
+    contrast, variance = np.zeros_like(both), np.zeros_like(both)
     enough = np.ones(both.shape, bool)
-    for sign, (rows, hits) in zip((1, -1, -1, 1), cells):
+
+    def cell(sign: int, rows: np.ndarray, labelled: np.ndarray) -> None:
+        nonlocal enough
         enough &= rows >= 12
-        contrast += sign * hits / np.maximum(rows, 1)
-        variance += share * (1 - share) / np.maximum(rows, 1)
-    strength = np.triu(np.where(enough, contrast**2 / variance, 0), 1)
-    pairs = _best(strength.ravel(), many, 60.0)
-    return np.unique(np.concatenate(np.divmod(pairs, len(one)))) if len(pairs) else pairs
+        rows = np.maximum(rows, 1)
+        np.add(contrast, sign * labelled / rows, out=contrast)
+        np.add(variance, np.float32(share * (1 - share)) / rows, out=variance)
+
+    cell(1, both, both_label)
+    cell(-1, one[:, None] - both, hits[:, None] - both_label)
+    cell(-1, one[None, :] - both, hits[None, :] - both_label)
+    cell(1, np.float32(n) - one[:, None] - one[None, :] + both, np.float32(positive) - hits[:, None] - hits[None, :] + both_label)
+    strength = np.triu(np.where(enough, contrast * contrast / variance, np.float32(0)), 1).ravel()
+    far = np.flatnonzero(strength > 60)
+    pairs = far[np.argsort(-strength[far], kind="stable")[:many]]
+    return np.unique(np.concatenate(np.divmod(pairs, columns))) if len(pairs) else pairs
 
 
 def choose_slots(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, features: int, pair_candidates: int, pair_features: int) -> np.ndarray:
     """The slots that get weights, sorted. bounds: where each text's slots begin (n + 1)."""
     n, positive = len(label), float(label.sum())
-    text = np.repeat(np.arange(n), np.diff(bounds))
-    known, place = np.unique(slot, return_inverse=True)
-    seen = np.bincount(place, minlength=len(known))
-    chosen = _best(_chi(seen, np.bincount(place, label[text], len(known)), n, positive), features, 6.0)
+    known = np.unique(slot)
+    place = np.searchsorted(known, slot).astype(np.int32)
+    seen, with_label = np.zeros(len(known)), np.zeros(len(known))
+    for low in range(0, n, 2048):
+        here, high = place[bounds[low] : bounds[min(low + 2048, n)]], min(low + 2048, n)
+        seen += np.bincount(here, minlength=len(known))
+        with_label += np.bincount(here, np.repeat(label[low:high], np.diff(bounds[low : high + 1])), len(known))
+    chosen = _best(_chi(seen, with_label, n, positive), features, 6.0)
     varied = _best(seen * (n - seen) * (seen >= 4.0), pair_candidates, 0.0)
     tried = np.union1d(chosen, varied)
-    column = np.full(len(known), -1)
+    column = np.full(len(known), -1, np.int32)
     column[tried] = np.arange(len(tried))
-    present = np.zeros((n, len(tried)), np.float32)
-    hit = column[place] >= 0
-    present[text[hit], column[place[hit]]] = 1
-    return known[np.union1d(chosen, tried[interacting(present, label.astype(np.float32), pair_features)])].astype(np.int64)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low in range(0, n, 2048):
+            high = min(low + 2048, n)
+            at = column[place[bounds[low] : bounds[high]]]
+            text = np.repeat(np.arange(high - low, dtype=np.int32), np.diff(bounds[low : high + 1]))
+            present = np.zeros((high - low, len(tried)), np.float32)
+            present[text[at >= 0], at[at >= 0]] = 1
+            yield present, label[low:high].astype(np.float32)
+
+    return known[np.union1d(chosen, tried[interacting(blocks(), len(tried), pair_features)])].astype(np.int64)
 
 
 def train(slot: np.ndarray, bounds: np.ndarray, label: np.ndarray, *, features: int = 512, pair_candidates: int = 1024, pair_features: int = 64, factors: int = 4, rounds: int = 160, decay: float = 2e-5, seed: int = 7) -> FactorizationMachine:
