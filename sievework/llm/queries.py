@@ -106,7 +106,7 @@ from split s left join hits t on s.page_id = t.page_id and t.nth = 1
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, tables=14)
 
 
 #: All pairs that share a shingle, and a recursive closure: for small tables.
