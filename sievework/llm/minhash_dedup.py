@@ -8,8 +8,9 @@ A document's set is its different shingles of five lower-cased words (with fewer
 2. Tensoring: the tables' keys are all pairs (i-th half-key of the first collection, j-th of the second), so
    tables^2 tables of 2 * rows minhashes cost 2 * tables * rows minhashes.  A pair of similarity s shares a key
    with probability (1 - (1 - s^rows)^tables)^2: 0.9998 at 0.8 for eighteen half-keys of four.  The key rows hold two
-   numbers each.  A bucket is aggregated (map-side combined) to its smallest and largest member and its size, and never
-   gathered: most have two members, which are the pair.  Such a pair is dropped at once where fewer than `least` of all
+   numbers each.  A task sends at most three rows of a key for each `_CHUNK` texts (most keys are single, so that Spark's own
+   map-side combine would only fill memory and spill), and a bucket is aggregated to its smallest and largest member and
+   whether it has more, never gathered: most have two members, which are the pair.  Such a pair is dropped at once where fewer than `least` of all
    half-keys agree (a pair of similarity 0.8 is lost so with a chance of 5 in 10,000).  Larger buckets become stars
    around their smallest member; a bucket that holds a third of the table is one row there, and only a join that adaptive
    execution can split sees its members.
@@ -42,6 +43,7 @@ from sievework.llm.components import components, smallest_reachable
 
 WORDS = 5
 _SLICE = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = textnum._LOWER.tobytes()
 
 
@@ -95,6 +97,37 @@ def half_keys(sets: list[np.ndarray], tables: int, rows: int) -> np.ndarray:
 _SKETCH = "id long, n long, d1 long, d2 long, first array<long>, second array<long>, sig binary"
 
 
+_KEYS = "key long, rid long"
+_CHUNK = 4096
+
+
+def _keys(batches: Iterator[pa.RecordBatch], combine: bool) -> Iterator[pa.RecordBatch]:
+    """The tables' keys of rows (rid, first, second).
+
+    Combined, a key that occurs once among `_CHUNK` texts is one row, one that occurs twice its two rows, and one that
+    occurs more often three: its smallest, its largest and again its smallest text.
+    """
+    for whole in batches:
+        for low in range(0, whole.num_rows, _CHUNK):
+            batch = whole.slice(low, _CHUNK)
+            n = batch.num_rows
+            first, second = (batch.column(k).flatten().to_numpy().view(np.uint64).reshape(n, -1) for k in (1, 2))
+            keys = textnum.mix64(first[:, :, None] * _ODD + second[:, None, :]).reshape(-1).view(np.int64)
+            rids = np.repeat(batch.column(0).to_numpy(), len(keys) // n)
+            if combine:
+                by = np.argsort(keys)
+                keys, rids = keys[by], rids[by]
+                start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                size = np.diff(np.append(start, len(keys)))
+                lowest, highest = np.minimum.reduceat(rids, start), np.maximum.reduceat(rids, start)
+                times = np.where(lowest < highest, np.minimum(size, 3), 1)
+                two = times > 1
+                keys, rids = np.repeat(keys[start], times), np.repeat(lowest, times)
+                rids[(np.cumsum(times) - times + 1)[two]] = highest[two]
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(rids[at : at + (1 << 16)])], names=["key", "rid"])
+
+
 def word_texts(column: pa.Array) -> list[bytes]:
     """Each text's words, A-Z lower-cased, a blank between them."""
     data, offsets = textnum.text_buffer(column)
@@ -221,14 +254,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = sketches.where("n > 0 and id is not null")
     reps = full.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "first", "second", "sig")).alias("m"))
     reps = checkpointed(reps.select(F.monotonically_increasing_id().alias("rid"), "n", "d1", "d2", F.col("m.id").alias("id"), "m.first", "m.second", "m.sig"))
-    keys = reps.select("rid", F.posexplode("first").alias("i", "a"), "second").select("rid", "i", "a", F.posexplode("second").alias("j", "b"))
-    keys = keys.select(F.xxhash64("i", "a", "j", "b").alias("key"), "rid")
-    buckets = checkpointed(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("other"), F.count(F.lit(1)).alias("size")).where("hub < other"))
+    halves = reps.select("rid", "first", "second")
+    few = halves.mapInArrow(lambda it: _keys(it, True), _KEYS).repartition("key")
+    buckets = checkpointed(few.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("other"), F.count(F.lit(1)).alias("size")).where("hub < other"))
     twos = buckets.where("size = 2").select(F.col("other").alias("rid"), "hub").distinct()
     sig = lambda c: reps.select(F.col("rid").alias(f"{c}_rid"), F.col("sig").alias(f"{c}_sig"))
     alike = F.expr(f"size(filter(sequence(1, {2 * tables}), k -> substring(a_sig, k, 1) = substring(b_sig, k, 1))) >= {least}")
     twos = twos.join(sig("a"), F.col("rid") == F.col("a_rid")).join(sig("b"), F.col("hub") == F.col("b_rid")).where(alike).select("rid", "hub")
     big = buckets.where("size > 2").select(F.col("key").alias("b_key"), "hub")
+    keys = halves.mapInArrow(lambda it: _keys(it, False), _KEYS)
     stars = keys.join(small_side(big, broadcast_rows), F.col("key") == F.col("b_key")).where("rid <> hub").select("rid", "hub").distinct()
     groups = checkpointed(components(twos.union(stars), "rid", "hub"))
     known = reps.select(F.col("rid").alias("m_rid"), "n", F.col("id").alias("rep"), "d1", "d2")

@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sievework.llm.minhash_dedup import drop_near_duplicates, exact_sets, near_duplicates
+from sievework.llm.minhash_dedup import _keys, drop_near_duplicates, exact_sets, near_duplicates
 from tests.llm.tables import docs, odd_rows, prose
 
 import random
@@ -83,6 +84,21 @@ def test_words_that_collide_by_construction(spark, n):
     assert result(docs(spark, rows)) == expected(rows)
 
 
+def test_combined_keys():
+    """What a task sends keeps each key's smallest and largest text, and whether one, two or more have it."""
+    rng = np.random.default_rng(4)
+    n = 9000  # three chunks; few half-keys, so that keys repeat within and across them
+    # half-keys tell their place, as real ones do
+    halves = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 3, pa.int32()), pa.array(rng.integers(0, top, n * 3) * 3 + np.tile(np.arange(3), n))) for top in (300, 40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.permutation(n)), *halves], names=["rid", "first", "second"])
+    plain, short = (pa.Table.from_batches(list(_keys(iter([batch, batch.slice(0, 0)]), c))).to_pandas().groupby("key").rid for c in (False, True))
+    plain, short = (g.agg(["min", "max", "count"]) for g in (plain, short))
+    assert len(plain) == len(short) and (plain[["min", "max"]] == short[["min", "max"]]).all(axis=None)
+    for low, high, k, m in zip(plain["min"], plain["max"], plain["count"], short["count"]):
+        assert m <= k and (low == high or min(m, 3) == min(k, 3))
+    assert (plain["count"] > 3).any() and (plain["count"] == 2).any()
+
+
 def test_exact_sets():
     texts = [b"a b c d e f", b"a b c d e f g", b"a b", b"b a", b"a b", b"", b"a b c d e f"]
     sets = exact_sets(texts)
