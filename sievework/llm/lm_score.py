@@ -244,7 +244,8 @@ def _sum_up(batches: Iterator[pa.RecordBatch], order: int, bucket_bits: int, tot
         table_of, done = {}, 0
         for b, ranked in _block_keys(docs, order, bucket_bits):
             known = ranked[_starts(ranked)]
-            table_of[b] = done, known, _unplanes(corpus.pop(b), 6).astype(np.int64)
+            counts = _unplanes(corpus.pop(b), 6)
+            table_of[b] = done, known, counts.astype(np.min_scalar_type(counts.max()))  # most buckets' counts are short
             done += len(known)
         found = [_score_part(texts, table_of, order, bucket_bits, total, alpha, leave_one_out) for texts in _parts(docs)]
         lengths, score, full, unseen = (np.concatenate([f[i] for f in found]) for i in range(4))
