@@ -66,7 +66,7 @@ def tail(z):
     return 1 / (1 + math.exp(max(-30.0, min(30.0, 1.5976 * z + 0.07056 * z**3))))
 
 
-def tests_of(token):
+def battery(token):
     """(letters, battery's p, -log10 of the chance of text-like letters to look as uniform) of one candidate."""
     body = token.rstrip("=")
     letters = next(x for _, pattern, x in ENCODINGS if re.fullmatch(pattern, token))
@@ -87,7 +87,7 @@ def tests_of(token):
 
 def random_spans(texts, level=1e-3, random_level=1e-3):
     """All spans of kind random by loops: (text, start, end)."""
-    found = [(t, m.start(), m.end(), *tests_of(m[0])) for t, text in enumerate(texts) for m in re.finditer(CANDIDATE, text)]
+    found = [(t, m.start(), m.end(), *battery(m[0])) for t, text in enumerate(texts) for m in re.finditer(CANDIDATE, text)]
     mean = sum(x[3] for x in found) / max(1, len(found))
     bins = [max(0, min(4000, math.floor((x[5] + math.log10(x[3] / mean)) * 100))) / 100 for x in found]
     passing = [b for b in set(bins) if 10**-b <= level * sum(x >= b for x in bins) / len(bins)]
